@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm import exact_dedup, line_dedup, mixing, simhash
+from weftnet.llm import exact_dedup, language_id, line_dedup, mixing, ngram_jaccard, simhash
 from weftnet.llm.base import read_documents
 
 
@@ -29,10 +29,20 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_documents(spark, sf_dir)).drop("_th")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read_documents(spark, sf_dir))
+
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.jaccard_components(read_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": op2_exact_dedup,
         "op3_line_dedup": op3_line_dedup,
         "op4_document_fingerprints": op4_document_fingerprints,
+        "op5_language_id": op5_language_id,
         "op6_mixing": op6_mixing,
+        "op7_ngram_jaccard": op7_ngram_jaccard,
     }
