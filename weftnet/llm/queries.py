@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm import exact_dedup, language_id, line_dedup, mixing, ngram_jaccard, simhash
+from weftnet.llm import exact_dedup, language_id, line_dedup, mixing, ngram_jaccard, simhash, substring_dedup
 from weftnet.llm.base import read_documents
 
 
@@ -37,6 +37,11 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(read_documents(spark, sf_dir))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.substring_dedup(read_documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": op2_exact_dedup,
@@ -45,4 +50,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": op5_language_id,
         "op6_mixing": op6_mixing,
         "op7_ngram_jaccard": op7_ngram_jaccard,
+        "op10_substring_dedup": op10_substring_dedup,
     }
