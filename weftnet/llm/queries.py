@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm import exact_dedup, language_id, line_dedup, mixing, ngram_jaccard, simhash, substring_dedup
+from weftnet.llm import exact_dedup, language_id, line_dedup, mixing, ngram_jaccard, simhash, substring_dedup, token_counts, token_files
 from weftnet.llm.base import read_documents
 
 
@@ -42,13 +42,35 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def _vocabulary(name: str) -> str:
+    """Place of a public tokenizer file; it is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_documents(spark, sf_dir)
+    return token_counts.section_tokens(docs, _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.temporary_path(spark)
+    token_files.encode_documents(read_documents(spark, sf_dir), path, _vocabulary("word_bpe_49k.json"))
+    return token_files.document_digests(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_line_dedup": op3_line_dedup,
         "op4_document_fingerprints": op4_document_fingerprints,
         "op5_language_id": op5_language_id,
         "op6_mixing": op6_mixing,
         "op7_ngram_jaccard": op7_ngram_jaccard,
+        "op9_token_files": op9_token_files,
         "op10_substring_dedup": op10_substring_dedup,
     }
