@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftnet.llm import exact_dedup, language_id, line_dedup, mixing, ngram_jaccard, simhash, substring_dedup, token_counts, token_files
+from weftnet.llm import exact_dedup, language_id, line_dedup, mixing, ngram_jaccard, sentence_pieces, simhash, substring_dedup, token_counts, token_files
 from weftnet.llm.base import read_documents
 
 
@@ -56,6 +56,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_tokens(docs, _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = sentence_pieces.load_pieces(spark, _vocabulary("piece_bpe_32k.model"))
+    return sentence_pieces.document_pieces(read_documents(spark, sf_dir), pieces)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.temporary_path(spark)
     token_files.encode_documents(read_documents(spark, sf_dir), path, _vocabulary("word_bpe_49k.json"))
@@ -71,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": op5_language_id,
         "op6_mixing": op6_mixing,
         "op7_ngram_jaccard": op7_ngram_jaccard,
+        "op8_sentence_pieces": op8_sentence_pieces,
         "op9_token_files": op9_token_files,
         "op10_substring_dedup": op10_substring_dedup,
     }
