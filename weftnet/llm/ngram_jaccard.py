@@ -20,9 +20,13 @@ band if a partner may be there, so each pair meets in its larger one's band.
 Join. Keys are dealt to as many buckets as shuffle partitions. In a group of
 equal keys of at most ``small`` documents all pairs are candidates; in a larger
 one each document is a candidate with the smallest id, and the members are
-noted. Candidates are verified on their whole sets. Where a noted group has
-members in several components after that, its pairs across components are
-verified as well, so no link between components is lost. Equal sets are linked
+noted. Of a candidate pair first the bit sketches are compared: the parity of
+the hashes that fall on each of 2n to 4n bits. Where their Hamming distance is
+above D the pair can't link; the others are verified on their whole sets. Where a noted group has
+members in several components after that, members of three of them are candidates
+with those of the others, for a few rounds; what is left then is compared by
+sketch in blocks, all pairs across components, and what passes is verified, so no
+link between components is lost. Equal sets are linked
 by digest beforehand and are one row in all this.
 
 Results: one row per row of the input with doc_id, n_shingles, component_id.
@@ -49,7 +53,7 @@ BAND = 16  # sizes of a band grow by this factor
 FIRST = 64  # largest set of the first band
 HOT_BITS = 22
 BATCH_BYTES = 4 << 20
-CHUNK = 4096
+CHUNK = 1024
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -66,6 +70,11 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
                 yield w.hashes[:0]
 
 
+def digest(sets: np.ndarray) -> tuple[int, int, int]:
+    """Size, sum and XOR: equal for equal sets, and else different but for collisions."""
+    return len(sets), int(sets.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(tk.mix(sets), initial=np.uint64(0)).view(np.int64))
+
+
 def most_apart(n: int, num: int, den: int) -> int:
     """Largest symmetric difference of a set of n shingles and any set that links with it."""
     return (den - num) * (n + n * den // num) // (den + num)
@@ -78,6 +87,19 @@ def band_of(n: int) -> int:
     return band
 
 
+def bit_sketch(sets: np.ndarray) -> bytes:
+    """Parities of a set on a power of two of bits, 2n at least."""
+    bits = 1 << max(8, (2 * len(sets) - 1).bit_length())
+    parity = np.bincount((sets >> np.uint64(8) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(bool), bitorder="little").tobytes()
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    """Differing bits, the longer sketch being folded to the length of the other."""
+    x, y = sorted((np.frombuffer(v, np.uint64) for v in (x, y)), key=len)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum())
+
+
 def join_keys(sets: np.ndarray, band: int, apart: int, hot: np.ndarray) -> np.ndarray:
     """The first ``apart`` + 1 parity words of a set in a band."""
     warm = hot[sets >> np.uint64(64 - HOT_BITS)]
@@ -114,7 +136,8 @@ def _hot_table(docs: DataFrame, width: int, sample: int) -> np.ndarray:
     return hot
 
 
-ROWS = "bucket int, keys binary, ids binary, doc_id long, n_shingles long, d0 long, d1 long"
+ROWS = "bucket int, keys binary, ids binary, doc_id long, n_shingles long, d0 long, d1 long, sketch binary"
+DOC = ("doc_id", "n_shingles", "d0", "d1", "sketch")
 
 
 def _emit(docs: DataFrame, width: int, num: int, den: int, hot: np.ndarray, buckets: int) -> DataFrame:
@@ -131,21 +154,20 @@ def _emit(docs: DataFrame, width: int, num: int, den: int, hot: np.ndarray, buck
             parts = list(tk.packed((k % np.uint64(buckets)).astype(np.int64), [k, i], buckets))
             none = pa.nulls(len(parts), pa.int64())
             columns = [pa.array([g for g, _ in parts], pa.int32()), *[pa.array([c[j] for _, c in parts], pa.binary()) for j in (0, 1)]]
-            yield pa.record_batch([*columns, none, none, none, none], schema)
+            yield pa.record_batch([*columns, none, none, none, none, pa.nulls(len(parts), pa.binary())], schema)
             keys.clear(), ids.clear(), seen.clear()
 
         schema = pa.schema(
-            [("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d0", pa.int64()), ("d1", pa.int64())]
+            [("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d0", pa.int64()), ("d1", pa.int64()), ("sketch", pa.binary())]
         )
         for batch in batches:
             rows = []
             for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width)):
-                d0, d1 = (int(x.view(np.int64)) for x in (s.sum(dtype=np.uint64), np.bitwise_xor.reduce(tk.mix(s), initial=np.uint64(0))))
-                rows.append((doc, len(s), d0, d1))
-                if doc is None or not len(s) or (len(s), d0, d1) in seen:
+                n, d0, d1 = digest(s)
+                rows.append((doc, n, d0, d1, bit_sketch(s)))
+                if doc is None or not n or (n, d0, d1) in seen:
                     continue
-                seen.add((len(s), d0, d1))
-                n = len(s)
+                seen.add((n, d0, d1))
                 apart, band = most_apart(n, num, den), band_of(n)
                 for b in range(band, band_of(n * den // num) + 1):
                     k = join_keys(s, b, apart, table)
@@ -155,13 +177,13 @@ def _emit(docs: DataFrame, width: int, num: int, den: int, hot: np.ndarray, buck
                     yield from flush()
                     held = 0
             at = [(r[0] or 0) % buckets for r in rows]
-            yield pa.record_batch([pa.array(at, pa.int32()), *[pa.nulls(len(rows), pa.binary())] * 2, *[pa.array([r[j] for r in rows], pa.int64()) for j in range(4)]], schema)
+            yield pa.record_batch([pa.array(at, pa.int32()), *[pa.nulls(len(rows), pa.binary())] * 2, *[pa.array([r[j] for r in rows], pa.int64()) for j in range(4)], pa.array([r[4] for r in rows], pa.binary())], schema)
         yield from flush()
 
     return docs.select("doc_id", "text").mapInArrow(run, ROWS)
 
 
-MET = "kind int, a long, b long, doc_id long, n_shingles long, d0 long, d1 long, members binary"
+MET = "kind int, a long, b long, doc_id long, n_shingles long, d0 long, d1 long, sketch binary, members binary"
 
 
 def _meet(entries: DataFrame, small: int) -> DataFrame:
@@ -169,7 +191,7 @@ def _meet(entries: DataFrame, small: int) -> DataFrame:
 
     def run(batches):
         schema = pa.schema(
-            [("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d0", pa.int64()), ("d1", pa.int64()), ("members", pa.binary())]
+            [("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d0", pa.int64()), ("d1", pa.int64()), ("sketch", pa.binary()), ("members", pa.binary())]
         )
 
         def rows(kind, n, **columns):
@@ -184,7 +206,7 @@ def _meet(entries: DataFrame, small: int) -> DataFrame:
             docs = pa.Table.from_batches([batch])
             docs = docs.filter(pc.is_valid(docs["n_shingles"])).combine_chunks()
             if docs.num_rows:
-                yield rows(2, docs.num_rows, **{c: docs[c].combine_chunks() for c in ("doc_id", "n_shingles", "d0", "d1")})
+                yield rows(2, docs.num_rows, **{c: docs[c].combine_chunks() for c in DOC})
         if not keys:
             return
         keys, ids = np.concatenate(keys), np.concatenate(ids)
@@ -222,19 +244,32 @@ def _meet(entries: DataFrame, small: int) -> DataFrame:
     return entries.repartition(partitions(entries.sparkSession), "bucket").mapInArrow(run, MET)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) that link."""
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int, most_ids: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that link; ``nodes`` has a row of DOC for each id."""
     for x in ("a", "b"):
-        pairs = pairs.join(sizes.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}")), x)
-    pairs = staged(pairs.filter((F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)))
+        pairs = pairs.join(nodes.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")), x)
+    pairs = pairs.filter((F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num))
+
+    def near(batches):
+        for batch in batches:
+            most = (den - num) * (batch.column(2).to_numpy() + batch.column(3).to_numpy()) // (den + num)
+            apart = [sketch_distance(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+            keep = pa.array(np.flatnonzero(np.array(apart, np.int64) <= most))
+            yield pa.record_batch([batch.column(k).take(keep) for k in (0, 1)], ["a", "b"])
+
+    pairs = staged(pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(near, "a long, b long"))
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    wanted = staged(wanted.join(nodes.select(F.col("doc_id").alias("id"), "n_shingles", "d0", "d1"), "id"))
+    large = wanted.count() > most_ids
+    some = wanted.select("id")
+    texts = docs.join(some if large else F.broadcast(some), docs["doc_id"] == some["id"], "left_semi").select("doc_id", "text")
 
     def sets(batches):
         for batch in batches:
             for begin, end in tk.slices(batch.column(1), BATCH_BYTES):
-                held = [s.tobytes() for s in shingle_sets(batch.column(1).slice(begin, end - begin), width)]
-                yield pa.record_batch([batch.column(0).slice(begin, end - begin), pa.array(held, pa.binary())], ["id", "grams"])
+                rows = [(*digest(s), s.tobytes()) for s in shingle_sets(batch.column(1).slice(begin, end - begin), width)]
+                columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+                yield pa.record_batch([batch.column(0).slice(begin, end - begin), *columns], ["id", "n_shingles", "d0", "d1", "grams"])
 
     def compare(batches):
         for batch in batches:
@@ -246,59 +281,127 @@ def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, width: int, n
                 at = np.searchsorted(y, x)
                 both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
                 good.append(den * both >= num * (len(x) + len(y) - both))
-            keep = np.flatnonzero(good)
-            yield pa.record_batch([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], ["a", "b"])
+            keep = pa.array(np.flatnonzero(good))
+            yield pa.record_batch([batch.column(k).take(keep) for k in (0, 1)], ["a", "b"])
 
-    held = texts.mapInArrow(sets, "id long, grams binary")
-    out = pairs.select("a", "b").join(held.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
+    # of rows that share an id, the one that stands for it
+    held = texts.mapInArrow(sets, "id long, n_shingles long, d0 long, d1 long, grams binary")
+    held = held.join(wanted if large else F.broadcast(wanted), ["id", "n_shingles", "d0", "d1"], "left_semi")
+    out = pairs.join(held.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
     out = out.join(held.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
-    return staged(out.mapInArrow(compare, "a long, b long"))
+    return staged(out.mapInArrow(compare, "a long, b long").distinct())
 
 
-def _across(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of a noted group that lie in different components."""
+def _unsettled(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """(g, size, part, id, root): members of the noted groups that lie in several components."""
 
     def members(batches):
         for batch in batches:
             for g, size, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 ids = np.frombuffer(m, np.int64)
-                yield pa.record_batch([pa.array(np.full(len(ids), g)), pa.array(np.full(len(ids), size)), pa.array(ids)], ["g", "size", "id"])
+                # parts of a group are cut at the same places wherever it was noted
+                part = np.full(len(ids), int(tk.mix(ids[:1].view(np.uint64))[0] >> np.uint64(1)))
+                yield pa.record_batch([pa.array(np.full(len(ids), g)), pa.array(np.full(len(ids), size)), pa.array(part), pa.array(ids)], ["g", "size", "part", "id"])
 
-    each = groups.dropDuplicates(["a", "b", "members"]).select("a", "b", "members").mapInArrow(members, "g long, size long, id long")
-    each = each.join(roots, "id", "left").select("g", "size", "id", F.coalesce("component", "id").alias("root"))
-    mixed = each.groupBy("g", "size").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("g", "size")
-    each = staged(each.join(mixed, ["g", "size"], "left_semi"))
-    other = each.select("g", "size", F.col("id").alias("b"), F.col("root").alias("root_b"))
-    pairs = each.withColumnRenamed("id", "a").join(other, ["g", "size"]).filter("root != root_b and a < b")
-    return pairs.select("a", "b").distinct()
+    each = groups.select("a", "b", "members").distinct().mapInArrow(members, "g long, size long, part long, id long")
+    return _still(each, roots)
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, small: int = 8, sample: int = 3000) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id."""
+def _still(each: DataFrame, roots: DataFrame) -> DataFrame:
+    each = each.join(roots, "id", "left").select("g", "size", "part", "id", F.coalesce("component", "id").alias("root"))
+    mixed = each.groupBy("g", "size").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("g", "size")
+    return staged(each.join(mixed, ["g", "size"], "left_semi"))
+
+
+def _pivots(each: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a member of each group's largest, of its smallest and of one other component with the members of others."""
+    comps = each.groupBy("g", "size", "root").agg(F.count("*").alias("k"), F.min("id").alias("id"))
+    ends = comps.groupBy("g", "size").agg(
+        F.min(F.struct(-F.col("k"), "root", "id")).alias("x"), F.max(F.struct(-F.col("k"), "root", "id")).alias("y"),
+        F.min(F.struct(F.xxhash64("root"), "root", "id")).alias("z"),
+    )
+    chosen = ends.select("g", "size", F.explode(F.array(*[F.struct(F.col(f"{c}.root").alias("r"), F.col(f"{c}.id").alias("a")) for c in "xyz"])).alias("p"))
+    pairs = each.join(chosen.select("g", "size", "p.r", "p.a").distinct(), ["g", "size"]).filter("root != r")
+    return pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+
+
+def _across(each: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of members of a group in different components whose sketches allow a link.
+
+    A group is compared part by part (a part has ``CHUNK`` members at most), so
+    no task holds more than two parts, and only pairs that pass are made.
+    """
+    parts = each.select("g", "size", "part").distinct()
+    other = parts.select("g", "size", F.col("part").alias("with"))
+    blocks = parts.join(other, ["g", "size"]).select("g", "size", "part", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"))
+    rows = each.join(nodes.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch"), "id")
+    rows = rows.join(blocks, ["g", "size", "part"]).select("g", "size", "lo", "hi", "part", "id", "root", "n", "sketch")
+
+    def compare(table: pa.Table) -> pa.Table:
+        lo, hi, part, ids, root, n = (table[c].to_numpy() for c in ("lo", "hi", "part", "id", "root", "n"))
+        sketches = table["sketch"].to_pylist()
+        length = np.array([len(x) for x in sketches])
+        found = [np.zeros((0, 2), np.int64)]
+        for size in np.unique(length):  # with sketches of the same length, or longer ones folded to it
+            small = np.flatnonzero(length == size)
+            large = np.flatnonzero((length == size) | (length == 2 * size))
+            bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(sketches[k], np.uint64).reshape(-1, size // 8), axis=0) for k in large])
+            at = np.searchsorted(large, small)
+            for k, own in zip(small, at):
+                apart = np.bitwise_count(bits ^ bits[own]).sum(1)
+                fits = (apart <= (den - num) * (n[large] + n[k]) // (den + num)) & (root[large] != root[k])
+                fits &= (n[large] * den >= n[k] * num) & (n[k] * den >= n[large] * num)
+                if lo[0] != hi[0]:  # pairs within a part have a block of their own
+                    fits &= part[large] != part[k]
+                b = ids[large[fits]]
+                found.append(np.stack([np.minimum(ids[k], b), np.maximum(ids[k], b)], 1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return rows.groupBy("g", "size", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+
+
+def jaccard_components(
+    docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, small: int = 4, sample: int = 3000, most_ids: int = 1_000_000, pivot_rounds: int = 1
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+
+    Ids of candidates are broadcast if they are ``most_ids`` at most, else joined by a shuffle.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hot = _hot_table(docs, width, sample)
     met = staged(_meet(_emit(docs, width, num, den, hot, 4 * partitions(spark)), small))
-    rows = met.filter("kind = 2").select("doc_id", "n_shingles", "d0", "d1")
+    rows = met.filter("kind = 2").select(*DOC)
     solid = rows.filter("doc_id is not null and n_shingles > 0")
     first = solid.groupBy("n_shingles", "d0", "d1").agg(F.min("doc_id").alias("rep"))
-    copies = solid.join(first, ["n_shingles", "d0", "d1"]).filter("doc_id > rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
-    copies = staged(copies)
+    copies = solid.join(first, ["n_shingles", "d0", "d1"]).filter("doc_id > rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    copies = staged(copies.distinct())
     reps = copies.groupBy("b").agg(F.min("a").alias("rep")).withColumnRenamed("b", "id")
+    nodes = solid.groupBy("doc_id").agg(F.min(F.struct(*DOC[1:])).alias("x")).select("doc_id", "x.*")
 
     def represented(pairs: DataFrame) -> DataFrame:
         for x in ("a", "b"):
             pairs = pairs.join(reps.select(F.col("id").alias(x), "rep"), x, "left").withColumn(x, F.coalesce("rep", x)).drop("rep")
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
 
-    sizes = solid.groupBy("doc_id").agg(F.min("n_shingles").alias("n_shingles"))
-    links = _verified(represented(met.filter("kind = 0").select("a", "b")), docs, sizes, width, num, den)
-    links = links.unionByName(copies)
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _verified(represented(pairs), docs, nodes, width, num, den, most_ids)
+
+    links = verified(met.filter("kind = 0").select("a", "b").distinct()).unionByName(copies)
     roots = components(links)
-    groups = met.filter("kind = 1")
-    if not groups.isEmpty():
-        more = represented(_across(groups, roots))
-        links = links.unionByName(_verified(more, docs, sizes, width, num, den))
+    each = _unsettled(met.filter("kind = 1"), roots)
+    for _ in range(pivot_rounds):
+        if each.isEmpty():
+            break
+        more = verified(_pivots(each))
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        roots = components(links)
+        each = _still(each.drop("root"), roots)
+    if not each.isEmpty():
+        links = links.unionByName(verified(_across(each, nodes, num, den)))
         roots = components(links)
     out = rows.select("doc_id", "n_shingles").join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
