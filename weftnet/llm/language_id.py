@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from weftnet.llm import textkernel as tk
 
 N = 5
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(0x80, 0x100)]] = True
 

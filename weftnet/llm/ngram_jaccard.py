@@ -51,8 +51,8 @@ from weftnet.llm.components import components
 
 BAND = 16  # sizes of a band grow by this factor
 FIRST = 64  # largest set of the first band
-HOT_BITS = 22
-BATCH_BYTES = 4 << 20
+HOT_BITS = 26
+BATCH_BYTES = 1 << 20
 CHUNK = 1024
 
 
@@ -102,7 +102,8 @@ def sketch_distance(x: bytes, y: bytes) -> int:
 
 def join_keys(sets: np.ndarray, band: int, apart: int, hot: np.ndarray) -> np.ndarray:
     """The first ``apart`` + 1 parity words of a set in a band."""
-    warm = hot[sets >> np.uint64(64 - HOT_BITS)]
+    slot = (sets >> np.uint64(64 - HOT_BITS)).astype(np.int64)
+    warm = (hot[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
     if band == 0:
         words = sets
     else:
@@ -121,7 +122,7 @@ def join_keys(sets: np.ndarray, band: int, apart: int, hot: np.ndarray) -> np.nd
 
 
 def _hot_table(docs: DataFrame, width: int, sample: int) -> np.ndarray:
-    """Flags of hash prefixes whose shingles are in 4 or more of at most about ``sample`` documents."""
+    """Bitmap (8 MB, whatever the corpus) of hash prefixes that 4 or more of about ``sample`` documents have."""
     step = max(1, docs.count() // sample)
     some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("text")
 
@@ -131,9 +132,9 @@ def _hot_table(docs: DataFrame, width: int, sample: int) -> np.ndarray:
                 yield pa.record_batch([pa.array((s >> np.uint64(64 - HOT_BITS)).astype(np.int32))], ["p"])
 
     often = some.mapInArrow(prefixes, "p int").groupBy("p").count().filter("count >= 4").select("p")
-    hot = np.zeros(1 << HOT_BITS, bool)  # 4 MB, whatever the corpus
-    hot[often.toPandas()["p"].to_numpy()] = True
-    return hot
+    hot = np.zeros(1 << HOT_BITS, bool)
+    hot[often.toPandas()["p"].to_numpy()] = True  # a fourth of the sample's shingles at most
+    return np.packbits(hot)
 
 
 ROWS = "bucket int, keys binary, ids binary, doc_id long, n_shingles long, d0 long, d1 long, sketch binary"
@@ -141,10 +142,10 @@ DOC = ("doc_id", "n_shingles", "d0", "d1", "sketch")
 
 
 def _emit(docs: DataFrame, width: int, num: int, den: int, hot: np.ndarray, buckets: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(hot))
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
-        table = np.unpackbits(shared.value).astype(bool)
+        table = shared.value
         keys, ids, held, seen = [], [], 0, set()
 
         def flush():
@@ -346,15 +347,17 @@ def _across(each: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
             small = np.flatnonzero(length == size)
             large = np.flatnonzero((length == size) | (length == 2 * size))
             bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(sketches[k], np.uint64).reshape(-1, size // 8), axis=0) for k in large])
-            at = np.searchsorted(large, small)
-            for k, own in zip(small, at):
-                apart = np.bitwise_count(bits ^ bits[own]).sum(1)
+            at, step = np.searchsorted(large, small), max(1, (1 << 18) // bits.size)
+            for c in range(0, len(small), step):
+                k, x = small[c : c + step, None], bits[at[c : c + step]]
+                apart = np.bitwise_count(x[:, None, :] ^ bits).sum(2)
                 fits = (apart <= (den - num) * (n[large] + n[k]) // (den + num)) & (root[large] != root[k])
                 fits &= (n[large] * den >= n[k] * num) & (n[k] * den >= n[large] * num)
                 if lo[0] != hi[0]:  # pairs within a part have a block of their own
                     fits &= part[large] != part[k]
-                b = ids[large[fits]]
-                found.append(np.stack([np.minimum(ids[k], b), np.maximum(ids[k], b)], 1))
+                a, b = np.nonzero(fits)
+                a, b = ids[small[c + a]], ids[large[b]]
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
         pairs = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -362,7 +365,7 @@ def _across(each: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, small: int = 4, sample: int = 3000, most_ids: int = 1_000_000, pivot_rounds: int = 1
+    docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, small: int = 4, sample: int = 12_000, most_ids: int = 1_000_000, pivot_rounds: int = 1
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 

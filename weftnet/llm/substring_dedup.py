@@ -38,7 +38,7 @@ from weftnet.llm import textkernel as tk
 from weftnet.llm.base import NULL_ID, partitions, text_or_empty
 
 ANCHOR = 5
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 class SuffixAutomaton:
@@ -127,7 +127,7 @@ def _repeated(docs: DataFrame, length: int, bits: int) -> np.ndarray:
 
     def emit(batches):
         for batch in batches:
-            for begin, end in tk.slices(batch.column(0), 8 * BATCH_BYTES):
+            for begin, end in tk.slices(batch.column(0), 32 * BATCH_BYTES):
                 held = []
                 for a, b in tk.slices(batch.column(0).slice(begin, end - begin), BATCH_BYTES):
                     held.append(passages(batch.column(0).slice(begin + a, b - a), length)[1])
