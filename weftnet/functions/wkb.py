@@ -6,6 +6,7 @@ import struct
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 POINT, LINE = 1, 2
 
@@ -37,16 +38,19 @@ def parse(raw: bytes | None) -> list[tuple[float, float]] | None:
     return None
 
 
-@F.pandas_udf("array<struct<lon: double, lat: double>>")
+PAIRS = T.ArrayType(T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())]))
+
+
+@F.pandas_udf(PAIRS)
 def coordinates(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if (c := parse(b)) is None else [{"lon": x, "lat": y} for x, y in c])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def point(lon: pd.Series, lat: pd.Series) -> pd.Series:
     return pd.Series([None if x != x or y != y else point_bytes(x, y) for x, y in zip(lon, lat)])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def segment(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.Series:
     return pd.Series([line_bytes([(a, b), (c, d)]) for a, b, c, d in zip(lon1, lat1, lon2, lat2)])

@@ -85,7 +85,7 @@ def split_streets(coupled: DataFrame, edges: DataFrame, snap: float = 0.5) -> Da
 
     def cut(key, group: pd.DataFrame) -> pd.DataFrame:
         e = group.iloc[0]
-        u, v, length = f"n:{e.u}", f"n:{e.v}", float(e.len_m)
+        u, v, length = f"n:{int(e.u)}", f"n:{int(e.v)}", float(e.len_m)
         chord = max(((e.vx - e.ux) ** 2 + (e.vy - e.uy) ** 2) ** 0.5, 1e-12)
         near, rows, last, last_t, made = snap / chord, [], u, 0.0, 0
         drops = group[group.poi.notna()].sort_values(["t", "poi"])
@@ -121,7 +121,7 @@ def split_sides(coupled: DataFrame, edges: DataFrame, snap: float = 0.5, cross:
 
     def cut(key, group: pd.DataFrame) -> pd.DataFrame:
         e = group.iloc[0]
-        u, v, length = f"n:{e.u}", f"n:{e.v}", float(e.len_m)
+        u, v, length = f"n:{int(e.u)}", f"n:{int(e.v)}", float(e.len_m)
         dx, dy = e.vx - e.ux, e.vy - e.uy
         chord = max((dx * dx + dy * dy) ** 0.5, 1e-12)
         near, stand, shared = snap / chord, {}, None
