@@ -69,7 +69,10 @@ def load_pieces(spark: SparkSession, path: str, kind: str = "bpe") -> Pieces:
 
 def chunks(text: Column) -> Column:
     marked = F.concat(F.lit(MARK), F.translate(text, " ", MARK))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(marked, f"(?<=[^{MARK}])(?={MARK})"))
+    # single spaces between words, as in most texts: a plain split will do
+    plain = ~(text.contains("  ") | text.startswith(" ") | text.endswith(" ") | text.contains(MARK))
+    words = F.transform(F.split(text, " "), lambda w: F.concat(F.lit(MARK), w))
+    return F.when(text == "", F.array().cast("array<string>")).when(plain, words).otherwise(F.split(marked, f"(?<=[^{MARK}])(?={MARK})"))
 
 
 def _let(value: Column, use) -> Column:
@@ -223,7 +226,7 @@ def document_pieces(docs: DataFrame, pieces: Pieces, frequent: int = 400_000) ->
     each_row = out.select(
         F.nullif("_did", F.lit(NULL_ID)).alias("doc_id"),
         per("n").cast("long").alias("n_pieces"),
-        F.coalesce(F.col("h"), F.lit(0)).cast("string").alias("pieces_hash"),
+        F.coalesce((F.col("h") / F.col("_copies")).cast("decimal(38,0)"), F.lit(0)).cast("string").alias("pieces_hash"),
         (F.coalesce("back", F.lit(1)) == 1).alias("round_trip"),
         F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_c"),
     )
