@@ -13,8 +13,10 @@ writes each stage's result as Parquet and reads it again as the next one's input
    of the smallest doc_id stays; rows of null doc_id stay.
 4. mix: documents are repeated, cut or left out so that sources weigh 5, 2, 1,
    repeating, none more than three times. A repeated document is repeated rows.
-5. pieces: SentencePiece ids and their number for every row; n_chars and the text
-   stay as they are.
+5. pieces: every row is encoded and decoded: (doc_id, n_pieces, pieces_hash,
+   round_trip), the number of its SentencePiece ids, a hash of them in their order,
+   and whether they decode to the text. ``sentence_pieces.encode`` gives the ids
+   themselves, at the price of a shuffle of all of them.
 
 n_chars follows the text in stages that change it. Empty input gives empty output.
 """
@@ -56,8 +58,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     table = sentence_pieces.load_pieces(spark, public_tokenizers.path("piece_bpe_32k.model"))
-    out = sentence_pieces.encode(docs, table)
-    return out.withColumn("n_pieces", F.size("piece_ids").cast("long"))
+    return sentence_pieces.document_pieces(docs, table)
 
 
 STAGES = [("language", language), ("lines", lines), ("near", near), ("mix", mix), ("pieces", pieces)]
