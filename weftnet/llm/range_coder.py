@@ -30,7 +30,7 @@ TOTAL = 24
 U = np.uint64
 TOP, BOTTOM = U(1 << 48), U(1 << 40)
 RATE = 5
-START = np.array([64, 20000, 35000, 50000], np.uint32)  # of 65536, by confidence
+START = np.array([64, 20000, 35000, 50000], np.int32)  # of 65536, by confidence
 MOST, LEAST = 60000, 32
 
 
@@ -39,39 +39,42 @@ class BadBlock(ValueError):
 
 
 class Mixer:
-    """The adaptive part of the model, for some lanes at once."""
+    """The adaptive part of the model, for some lanes at once. Row 0 of each array is order 2, row 1 order 1."""
 
     def __init__(self, lanes: int):
-        self.base = np.arange(lanes, dtype=np.int64)
-        self.tables = [np.zeros(lanes << SLOTS, np.uint32) for _ in range(2)]  # id << 2 | confidence
-        self.success = [np.tile(START, lanes) for _ in range(2)]
+        rows = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes)
+        self.slot, self.level = rows << SLOTS, rows << 2
+        self.table = np.zeros(2 * lanes << SLOTS, np.uint32)  # id << 2 | confidence
+        self.success = np.tile(START, 2 * lanes)
+        self.at = np.zeros((2, lanes), np.int64)
         self.last = np.zeros(lanes, np.int64)
         self.before = np.zeros(lanes, np.int64)
 
     def predict(self):
-        """Ids predicted by order 2 and 1, and the ends of their intervals."""
+        """Ids predicted by order 2 and 1 (2**16 and more: none), and the ends of their intervals."""
         mask = (1 << SLOTS) - 1
         one = self.last * 40503 >> 3
-        two = one + self.before * 2654435761 >> 7
-        self.at = [(self.base << SLOTS) + (two & mask), (self.base << SLOTS) + (one & mask)]
-        self.seen = [t[a] for t, a in zip(self.tables, self.at)]
-        self.kind = [(self.base << 2) + (s & 3) for s in self.seen]
-        p2, p1 = (s[k].astype(U) for s, k in zip(self.success, self.kind))
-        a = p2 << U(TOTAL - 16)
-        b = a + ((U(1 << TOTAL) - a) * p1 >> U(16))
-        return self.seen[0] >> 2, self.seen[1] >> 2, a, b
+        np.bitwise_and(one + (self.before * 2654435761 >> 7), mask, out=self.at[0])
+        np.bitwise_and(one, mask, out=self.at[1])
+        self.at += self.slot
+        self.seen = self.table[self.at]
+        self.sure = self.seen & 3
+        self.kind = self.level + self.sure
+        self.p = self.success[self.kind]
+        a = self.p[0].astype(U) << U(TOTAL - 16)
+        b = a + ((U(1 << TOTAL) - a) * self.p[1].astype(U) >> U(16))
+        self.named = np.where(self.sure > 0, self.seen >> 2, np.uint32(1 << 16))
+        return self.named[0], self.named[1], a, b
 
     def learn(self, ids: np.ndarray) -> None:
-        for order in range(2):
-            seen, kind = self.seen[order], self.kind[order]
-            level = seen & 3
-            hit = (seen >> 2 == ids) & (level > 0)
-            p = self.success[order][kind].astype(np.int32)
-            p += np.where(hit, 65536 - p, -p) >> RATE
-            self.success[order][kind] = np.clip(p, LEAST, MOST)
-            kept = np.where(hit, np.minimum(level + 1, 3), level - 1)
-            fresh = ids.astype(np.uint32) << 2 | 1
-            self.tables[order][self.at[order]] = np.where(hit | (level > 1), (seen & ~np.uint32(3)) | kept, fresh)
+        hit = self.named == ids
+        p = self.p - (self.p >> RATE)
+        p += hit * np.int32(65536 >> RATE)
+        self.success[self.kind] = np.minimum(np.maximum(p, LEAST), MOST)
+        stay = hit | (self.sure > 1)
+        # one more on a hit, up to 3; one less else
+        kept = self.seen + np.where(hit, self.sure < 3, -1)
+        self.table[self.at] = np.where(stay, kept, ids.astype(np.uint32) << np.uint32(2) | np.uint32(1))
         self.before, self.last = self.last, ids.astype(np.int64)
 
 
@@ -121,13 +124,12 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
         begin0, size_0 = low0[now], size0[now]
         begin = b + (rest * begin0 >> U(16))
         end = b + (rest * (begin0 + size_0) >> U(16))
-        is2 = (two == now) & (mixer.seen[0] > 0)
-        is1 = (one == now) & (mixer.seen[1] > 0) & ~is2
-        begin, end = np.where(is1, a, begin), np.where(is1, b, end)
-        begin, end = np.where(is2, U(0), begin), np.where(is2, a, end)
+        is1, is2 = one == now, two == now
+        np.copyto(begin, a, where=is1), np.copyto(end, b, where=is1)
+        np.copyto(begin, U(0), where=is2), np.copyto(end, a, where=is2)
         step = span >> U(TOTAL)
-        low = low + begin * step
-        span = (end - begin) * step
+        low += begin * step
+        np.multiply(end - begin, step, out=span)
         while True:
             same = (low ^ (low + span)) < TOP
             short = (span < BOTTOM) & ~same
@@ -135,7 +137,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
             if not len(move):
                 break
             if short.any():
-                span = np.where(short, (~low + U(1)) & (BOTTOM - U(1)), span)
+                np.copyto(span, (~low + U(1)) & (BOTTOM - U(1)), where=short)
             flat[at[move]] = low[move] >> U(48)
             at[move] += 1
             low[move] <<= U(16)
@@ -190,11 +192,11 @@ def decode(chunk: bytes) -> np.ndarray:
         begin0 = low0[now]
         begin = b + (rest * begin0 >> U(16))
         end = b + (rest * (begin0 + size0[now]) >> U(16))
-        begin, end = np.where(is1, a, begin), np.where(is1, b, end)
-        begin, end = np.where(is2, U(0), begin), np.where(is2, a, end)
-        now = np.where(is2, two, np.where(is1, one, now)).astype(np.uint16)
-        low = low + begin * step
-        span = (end - begin) * step
+        np.copyto(begin, a, where=is1), np.copyto(end, b, where=is1)
+        np.copyto(begin, U(0), where=is2), np.copyto(end, a, where=is2)
+        np.copyto(now, one, where=is1, casting="unsafe"), np.copyto(now, two, where=is2, casting="unsafe")
+        low += begin * step
+        np.multiply(end - begin, step, out=span)
         while True:
             same = (low ^ (low + span)) < TOP
             short = (span < BOTTOM) & ~same
@@ -202,7 +204,7 @@ def decode(chunk: bytes) -> np.ndarray:
             if not len(move):
                 break
             if short.any():
-                span = np.where(short, (~low + U(1)) & (BOTTOM - U(1)), span)
+                np.copyto(span, (~low + U(1)) & (BOTTOM - U(1)), where=short)
             low[move] <<= U(16)
             span[move] <<= U(16)
             code[move] = code[move] << U(16) | flat[np.minimum(at[move], last[move])]
