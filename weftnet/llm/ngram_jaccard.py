@@ -17,16 +17,18 @@ are frequent in a bounded sample last; it decides speed alone. Sets up to 64
 shingles take a block for each shingle. A document also joins in the next size
 band if a partner may be there, so each pair meets in its larger one's band.
 
-Join. Keys are dealt to as many buckets as shuffle partitions. In a group of
+Join. Keys are dealt to as many buckets as shuffle partitions. A key's documents
+are grouped by tiers of sizes, each with the tier below, as sets of other sizes
+can't link. In a group of
 equal keys of at most ``small`` documents all pairs are candidates; in a larger
 one each document is a candidate with the smallest id, and the members are
 noted. Of a candidate pair first the bit sketches are compared: the parity of
 the hashes that fall on each of 2n to 4n bits. Where their Hamming distance is
 above D the pair can't link; the others are verified on their whole sets. Where a noted group has
-members in several components after that, members of three of them are candidates
-with those of the others, for a few rounds; what is left then is compared by
-sketch in blocks, all pairs across components, and what passes is verified, so no
-link between components is lost. Equal sets are linked
+members in several components after that, they are compared by sketch in blocks,
+all pairs across components, and what passes is verified, so no link between
+components is lost. Where groups are very large, ``pivot_rounds`` first tries
+members of three components against the others. Equal sets are linked
 by digest beforehand and are one row in all this.
 
 Results: one row per row of the input with doc_id, n_shingles, component_id.
@@ -36,6 +38,7 @@ Rows that repeat a doc_id are one node; each keeps its own n_shingles.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -100,6 +103,21 @@ def sketch_distance(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum())
 
 
+def size_tier(n: int, num: int, den: int) -> int:
+    """Sets that link lie in the same tier of sizes or in neighbouring ones."""
+    return int(math.log(n) / math.log(den / num) + 1e-9) if num < den else min(n, 255)
+
+
+def tiered(keys: np.ndarray, ids: np.ndarray, tiers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of a key and a tier: its own documents, and those of the tier below."""
+    named = lambda t: tk.mix(keys ^ tk.mix((t.astype(np.uint64) + np.uint64(1)) * np.uint64(tk.GOLDEN)))
+    own, above = named(tiers.astype(np.int64)), named(tiers.astype(np.int64) + 1)
+    there = np.unique(own)
+    at = np.minimum(np.searchsorted(there, above), len(there) - 1)
+    visits = there[at] == above
+    return np.concatenate([own, above[visits]]), np.concatenate([ids, ids[visits]])
+
+
 def join_keys(sets: np.ndarray, band: int, apart: int, hot: np.ndarray) -> np.ndarray:
     """The first ``apart`` + 1 parity words of a set in a band."""
     slot = (sets >> np.uint64(64 - HOT_BITS)).astype(np.int64)
@@ -137,7 +155,7 @@ def _hot_table(docs: DataFrame, width: int, sample: int) -> np.ndarray:
     return np.packbits(hot)
 
 
-ROWS = "bucket int, keys binary, ids binary, doc_id long, n_shingles long, d0 long, d1 long, sketch binary"
+ROWS = "bucket int, keys binary, ids binary, tiers binary, doc_id long, n_shingles long, d0 long, d1 long, sketch binary"
 DOC = ("doc_id", "n_shingles", "d0", "d1", "sketch")
 
 
@@ -146,20 +164,20 @@ def _emit(docs: DataFrame, width: int, num: int, den: int, hot: np.ndarray, buck
 
     def run(batches):
         table = shared.value
-        keys, ids, held, seen = [], [], 0, set()
+        keys, ids, tiers, held, seen = [], [], [], 0, set()
 
         def flush():
             if not keys:
                 return
-            k, i = np.concatenate(keys), np.concatenate(ids)
-            parts = list(tk.packed((k % np.uint64(buckets)).astype(np.int64), [k, i], buckets))
+            k, i, s = np.concatenate(keys), np.concatenate(ids), np.concatenate(tiers)
+            parts = list(tk.packed((k % np.uint64(buckets)).astype(np.int64), [k, i, s], buckets))
             none = pa.nulls(len(parts), pa.int64())
-            columns = [pa.array([g for g, _ in parts], pa.int32()), *[pa.array([c[j] for _, c in parts], pa.binary()) for j in (0, 1)]]
+            columns = [pa.array([g for g, _ in parts], pa.int32()), *[pa.array([c[j] for _, c in parts], pa.binary()) for j in (0, 1, 2)]]
             yield pa.record_batch([*columns, none, none, none, none, pa.nulls(len(parts), pa.binary())], schema)
-            keys.clear(), ids.clear(), seen.clear()
+            keys.clear(), ids.clear(), tiers.clear(), seen.clear()
 
         schema = pa.schema(
-            [("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d0", pa.int64()), ("d1", pa.int64()), ("sketch", pa.binary())]
+            [("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("tiers", pa.binary()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d0", pa.int64()), ("d1", pa.int64()), ("sketch", pa.binary())]
         )
         for batch in batches:
             rows = []
@@ -172,13 +190,13 @@ def _emit(docs: DataFrame, width: int, num: int, den: int, hot: np.ndarray, buck
                 apart, band = most_apart(n, num, den), band_of(n)
                 for b in range(band, band_of(n * den // num) + 1):
                     k = join_keys(s, b, apart, table)
-                    keys.append(k), ids.append(np.full(len(k), doc, np.int64))
+                    keys.append(k), ids.append(np.full(len(k), doc, np.int64)), tiers.append(np.full(len(k), size_tier(n, num, den), np.uint8))
                     held += len(k)
                 if held >= 2_000_000:
                     yield from flush()
                     held = 0
             at = [(r[0] or 0) % buckets for r in rows]
-            yield pa.record_batch([pa.array(at, pa.int32()), *[pa.nulls(len(rows), pa.binary())] * 2, *[pa.array([r[j] for r in rows], pa.int64()) for j in range(4)], pa.array([r[4] for r in rows], pa.binary())], schema)
+            yield pa.record_batch([pa.array(at, pa.int32()), *[pa.nulls(len(rows), pa.binary())] * 3, *[pa.array([r[j] for r in rows], pa.int64()) for j in range(4)], pa.array([r[4] for r in rows], pa.binary())], schema)
         yield from flush()
 
     return docs.select("doc_id", "text").mapInArrow(run, ROWS)
@@ -199,18 +217,17 @@ def _meet(entries: DataFrame, small: int) -> DataFrame:
             given = [columns.get(f.name, pa.nulls(n, f.type)) for f in schema][1:]
             return pa.record_batch([pa.array(np.full(n, kind, np.int32)), *given], schema)
 
-        keys, ids = [], []
+        keys, ids, tiers = [], [], []
         for batch in batches:
-            k, i = batch.column("keys").to_pylist(), batch.column("ids").to_pylist()
-            keys += [np.frombuffer(x, np.uint64) for x in k if x is not None]
-            ids += [np.frombuffer(x, np.int64) for x in i if x is not None]
+            for name, kind, to in (("keys", np.uint64, keys), ("ids", np.int64, ids), ("tiers", np.uint8, tiers)):
+                to += [np.frombuffer(x, kind) for x in batch.column(name).to_pylist() if x is not None]
             docs = pa.Table.from_batches([batch])
             docs = docs.filter(pc.is_valid(docs["n_shingles"])).combine_chunks()
             if docs.num_rows:
                 yield rows(2, docs.num_rows, **{c: docs[c].combine_chunks() for c in DOC})
         if not keys:
             return
-        keys, ids = np.concatenate(keys), np.concatenate(ids)
+        keys, ids = tiered(np.concatenate(keys), np.concatenate(ids), np.concatenate(tiers))
         order = np.lexsort((ids, keys))
         keys, ids = keys[order], ids[order]
         fresh = np.ones(len(keys), bool)
@@ -365,7 +382,7 @@ def _across(each: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, small: int = 4, sample: int = 12_000, most_ids: int = 1_000_000, pivot_rounds: int = 1
+    docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, small: int = 4, sample: int = 12_000, most_ids: int = 1_000_000, pivot_rounds: int = 0
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
