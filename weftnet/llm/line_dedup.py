@@ -79,6 +79,30 @@ def repeated_windows(docs: DataFrame, min_run: int) -> DataFrame:
     return windows.join(first, ["k1", "k2"]).filter(F.struct("_did", "start") > F.col("first")).select("_did", "_th", "start")
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once a row, wherever the optimizer moves it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _cut(text: Column, starts: Column, min_run: int) -> Column:
+    """struct(text, n_lines, n_removed) without the runs that begin at ``starts`` of the counted lines."""
+    runs = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s, s + F.lit(min_run - 1)))))
+
+    def of(lines: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.size(lines) - 1)
+        counted = F.filter(numbers, lambda i: _key(F.get(lines, i)) != "")
+        gone = _let(counted, lambda at: F.transform(runs, lambda p: F.get(at, p)))
+        kept = F.array_join(F.transform(F.array_except(numbers, gone), lambda i: F.get(lines, i)), "\n")
+        return F.struct(
+            F.when(starts.isNull(), text).otherwise(kept).alias("text"),
+            F.size(lines).cast("long").alias("n_lines"),
+            F.coalesce(F.size(runs), F.lit(0)).cast("long").alias("n_removed"),
+        )
+
+    none = F.struct(F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    return F.when(text.isNull(), none).otherwise(_let(F.split(text, "\n"), of))
+
+
 def line_dedup(docs: DataFrame, min_run: int = 3) -> DataFrame:
     """``docs`` with their text cut, and n_lines, n_removed (long) after its columns."""
     if min_run < 2:
@@ -87,15 +111,5 @@ def line_dedup(docs: DataFrame, min_run: int = 3) -> DataFrame:
     keyed = docs.withColumns(
         {"_did": F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).cast("long"), "_th": F.xxhash64(text_or_empty())}
     )
-    out = keyed.join(gone, ["_did", "_th"], "left").withColumn("_lines", F.split("text", "\n"))
-    numbers = F.sequence(F.lit(0), F.size("_lines") - 1)
-    counted = F.filter(numbers, lambda i: _key(F.get("_lines", i)) != "")
-    runs = F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + F.lit(min_run - 1))))
-    out = out.withColumn("_counted", counted).withColumn("_runs", F.array_distinct(runs))
-    cut = F.array_except(numbers, F.transform("_runs", lambda p: F.get("_counted", p)))
-    kept = F.array_join(F.transform(cut, lambda i: F.get("_lines", i)), "\n")
-    return out.select(
-        *[F.when(F.col("_runs").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_runs"), F.lit(0)).cast("long").alias("n_removed"),
-    )
+    out = keyed.join(gone, ["_did", "_th"], "left").withColumn("_cut", _cut(F.col("text"), F.col("_starts"), min_run))
+    return out.select(*[F.col("_cut.text").alias("text") if c == "text" else F.col(c) for c in docs.columns], "_cut.n_lines", "_cut.n_removed")
