@@ -116,7 +116,8 @@ def passages(texts: pa.Array, length: int):
     at = np.arange(len(doc)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
     # a passage: the windows that picked the same place, at most ``span`` of them
     begin = np.flatnonzero(np.diff(where[w.of_doc[doc] + at], prepend=-1))
-    return w, least[w.of_doc[doc] + at][begin], doc[begin], at[begin], np.diff(begin, append=len(doc))
+    # least hashes crowd near zero: mixed again, they spread over buckets and bits
+    return w, tk.mix(least[w.of_doc[doc] + at][begin]), doc[begin], at[begin], np.diff(begin, append=len(doc))
 
 
 def _repeated(docs: DataFrame, length: int, bits: int) -> np.ndarray:
