@@ -222,6 +222,12 @@ def test_flow_model_arcs(compiled):
     assert sorted(r.arc_id for r in arcs.collect()) == list(range(arcs.count()))
 
 
+def test_sampled_flow_model(compiled):
+    c = compiled({"facilities": None, "time_expansion": {"steps": 4}, "commodities": [{"sampled": {"count": 6, "hubs": 1}, "seed": 5}]})
+    n, _, coms = model.flow_tables(c)
+    assert coms.count() == 6 and all(r.dst >= n - n // 4 for r in coms.collect())
+
+
 def test_bad_models(spark):
     with pytest.raises(model.BadModel):
         model.load({"model_version": 2})
