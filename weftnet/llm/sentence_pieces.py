@@ -2,9 +2,10 @@
 
 A text is read as SentencePiece reads it under an identity normaliser: a space
 is put before it (not before an empty one) and spaces become U+2581. It falls
-into chunks: a run of U+2581 and the run of other characters after it. No piece
-has U+2581 after another character, so no piece reaches over a chunk's end and
-each distinct chunk of the corpus is encoded once:
+into chunks: a run of U+2581 and the run of other characters after it, cut before
+and after line feeds. No piece has U+2581 after another character, or a line feed,
+so no piece reaches over a chunk's end and each distinct chunk of the corpus is
+encoded once:
 
 1. distinct chunks, counted with map-side pre-aggregation,
 2. their substrings of at most the longest piece's length are exploded and
@@ -61,7 +62,7 @@ def load_pieces(spark: SparkSession, path: str, kind: str = "bpe") -> Pieces:
             ordinary.append((sp.id_to_piece(k), k, float(sp.get_score(k))))
     if byte0 is None:
         raise ValueError("the model has no byte pieces")
-    if any(MARK in p.lstrip(MARK) for p, _, _ in ordinary):
+    if any(MARK in p.lstrip(MARK) or "\n" in p for p, _, _ in ordinary):
         raise ValueError("a piece reaches over a chunk's end")
     table = spark.createDataFrame(ordinary, "piece string, id int, score double")
     return Pieces(table, byte0, max(len(p) for p, _, _ in ordinary), path, kind)
@@ -69,10 +70,17 @@ def load_pieces(spark: SparkSession, path: str, kind: str = "bpe") -> Pieces:
 
 def chunks(text: Column) -> Column:
     marked = F.concat(F.lit(MARK), F.translate(text, " ", MARK))
-    # single spaces between words, as in most texts: a plain split will do
-    plain = ~(text.contains("  ") | text.startswith(" ") | text.endswith(" ") | text.contains(MARK))
-    words = F.transform(F.split(text, " "), lambda w: F.concat(F.lit(MARK), w))
-    return F.when(text == "", F.array().cast("array<string>")).when(plain, words).otherwise(F.split(marked, f"(?<=[^{MARK}])(?={MARK})"))
+    cut = F.split(marked, f"(?<=[^{MARK}])(?={MARK})|(?<=\\n)(?=[^{MARK}])|(?<=[^\\n])(?=\\n)")
+    # single spaces, as in most texts: plain splits will do
+    plain = ~(text.contains("  ") | text.startswith(" ") | text.contains(MARK))
+
+    def line(x: Column, k: Column) -> Column:
+        word = lambda w, j: F.when((j > 0) | (k == 0), F.concat(F.lit(MARK), w)).otherwise(w)
+        words = F.transform(F.split(x, " "), word)
+        return F.when(k == 0, words).otherwise(F.concat(F.array(F.lit("\n")), words))
+
+    pieces = F.filter(F.flatten(F.transform(F.split(text, "\n"), line)), lambda w: w != "")
+    return F.when(text == "", F.array().cast("array<string>")).when(plain, pieces).otherwise(cut)
 
 
 def _let(value: Column, use) -> Column:
