@@ -21,6 +21,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,24 +51,29 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
-        self.parts, self.held = [], 0
+        self.held = 0
         self.begin, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int64)
 
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        # offsets aren't needed, and cost more than the ids
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return [e.ids for e in encode(words, add_special_tokens=False)]
+
     def _learn(self, w: tk.Words, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Numbers of distinct words, given by hash and one place each."""
-        if len(self.known) + len(hashes) > MOST_WORDS or self.held > MOST_WORD_IDS:
+        if len(self.known) > MOST_WORDS or self.held > MOST_WORD_IDS:
             self._forget()
         numbers = [self.known.get(h, -1) for h in hashes.tolist()]
         new = [k for k, x in enumerate(numbers) if x < 0]
         if new:
             raw = w.data.tobytes()
             spans = zip(w.starts[at[new]].tolist(), w.ends[at[new]].tolist())
-            coded = [e.ids for e in self.tokenizer.encode_batch([raw[a:b].decode() for a, b in spans], add_special_tokens=False)]
+            coded = self._ids([raw[a:b].decode() for a, b in spans])
             for k, h in zip(new, hashes[new].tolist()):
                 numbers[k] = self.known[h] = len(self.known)
             lengths = np.array([len(x) for x in coded], np.int64)
             self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(lengths)])
-            self.flat = np.concatenate([self.flat, *(np.array(x, np.int64) for x in coded)])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(coded), np.int64, int(lengths.sum()))])
             self.held = len(self.flat)
         return np.array(numbers, np.int64)
 
@@ -97,14 +103,14 @@ def encode_documents(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1
     rows = rows.repartitionByRange(partitions(spark), "_did", "_th").sortWithinPartitions("_did", "_th").select("_did", "text")
 
     def run(batches):
-        shard, coder, chunk = TaskContext.get().partitionId(), WordEncoder(tokenizer), 0
+        shard, coder, part = TaskContext.get().partitionId(), WordEncoder(tokenizer), 0
         docs_, counts_, ids_, held = [], [], [], 0
 
         def flush():
             ids, counts, docs = np.concatenate(ids_), np.concatenate(counts_), np.concatenate(docs_)
             if ids.max(initial=0) >= 1 << 16:
                 raise ValueError("ids of 2**16 and more")
-            row = [shard, chunk, len(docs), len(ids), zlib.compress(np.diff(docs, prepend=0).tobytes()), zlib.compress(counts.astype("<u4").tobytes()), range_coder.encode(ids.astype(np.uint16), block)]
+            row = [shard, part, len(docs), len(ids), zlib.compress(np.diff(docs, prepend=0).tobytes()), zlib.compress(counts.astype("<u4").tobytes()), range_coder.encode(ids.astype(np.uint16), block)]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             names = ["shard", "chunk", "n_docs", "n_ids", "doc_ids", "counts", "coded"]
             return pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds)], names)
@@ -117,7 +123,7 @@ def encode_documents(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1
                 held += len(ids)
                 if held >= CHUNK_IDS:
                     yield flush()
-                    docs_, counts_, ids_, held, chunk = [], [], [], 0, chunk + 1
+                    docs_, counts_, ids_, held, part = [], [], [], 0, part + 1
         if docs_:
             yield flush()
 
