@@ -96,6 +96,44 @@ def test_hamming_matches_find_all(spark):
     assert got == {(x, y) for x in points for y in points if gap(x, y) <= 3}
 
 
+@pytest.mark.parametrize("radius", [12, 20, 23])
+def test_hamming_matches_find_all_in_wide_radii(spark, radius):
+    import random
+
+    rng = random.Random(radius)
+    base = [rng.getrandbits(128) for _ in range(12)]
+    points = set(base)
+    for x in base:
+        for n in (1, radius - 1, radius, radius + 1):
+            # spread over all blocks, and in a run
+            points.add(x ^ sum(1 << k for k in rng.sample(range(128), n)))
+            points.add(x ^ (((1 << n) - 1) << rng.randrange(128 - n)))
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    words = {x: (signed(x >> 64), signed(x & (1 << 64) - 1)) for x in points}
+    frame = spark.createDataFrame(list(words.values()), "f0 long, f1 long")
+    got = [((r.q0, r.q1), (r.f0, r.f1)) for r in simhash.hamming_matches(frame, frame, radius).collect()]
+    want = {(words[x], words[y]) for x in points for y in points if (x ^ y).bit_count() <= radius}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_edited_copies_are_near(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = [[f"w{rng.randrange(3000)}" for _ in range(200)] for _ in range(6)]
+    rows = [(20 * k + 20, " ".join(t)) for k, t in enumerate(texts)]
+    for k, t in enumerate(texts):
+        edited = list(t)
+        edited[50] = "other"
+        rows.append((k + 1, " ".join(edited)))
+    got = {r.doc_id: r for r in simhash.document_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gap = lambda a, b: (int(got[a].fingerprint, 16) ^ int(got[b].fingerprint, 16)).bit_count()
+    for i, r in got.items():
+        near = [j for j in got if gap(i, j) <= simhash.RADIUS]
+        assert (r.near_count, r.near_id) == ((len(near) - 1, min(near)) if i % 20 == 0 else (None, None))
+    assert all(got[20 * k + 20].near_id == k + 1 for k in range(6))
+
+
 def test_mixing(docs, rows):
     got = mixing.mix(docs)
     again = sorted(map(str, mixing.mix(docs.repartition(3)).collect()))
