@@ -7,8 +7,8 @@ writes each stage's result as Parquet and reads it again as the next one's input
 1. language: documents go that have no language (null text, no letter) or of whose
    n-grams less than a fifth belong to the language found; it learns from the
    documents' own labels. Documents in any known language stay.
-2. lines: runs of three or more lines that occur earlier go from the text; a document
-   that loses all its lines goes.
+2. lines: runs of three or more lines, and single lines of eight or more words, that
+   occur earlier go from the text; a document that loses all its lines goes.
 3. near: of documents linked by five-word shingles (Jaccard of 0.75 or more) the one
    of the smallest doc_id stays; rows of null doc_id stay.
 4. mix: documents are repeated, cut or left out so that sources weigh 5, 2, 1,
@@ -32,6 +32,10 @@ from weftnet.llm import language_id, line_dedup, mixing, ngram_jaccard, sentence
 from weftnet.llm.base import read_documents, shared_dir
 
 
+#: Words from which a repeated line is no chance repeat.
+LONG_LINE = 8
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
 
@@ -41,7 +45,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(docs)
+    out = line_dedup.line_dedup(docs, long_words=LONG_LINE)
     emptied = (F.col("n_removed") > 0) & (F.btrim("text", F.lit(" \t\r\n")) == "")
     return _counted(out.filter(~emptied).select(*docs.columns))
 

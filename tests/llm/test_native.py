@@ -66,6 +66,18 @@ def test_line_dedup_inside_one_document(spark):
         line_dedup.line_dedup(one, 1)
 
 
+def test_long_single_lines(spark):
+    import corpus_pipeline
+
+    note = "all rights reserved by the owner of this text"
+    rows = [(1, f"a\n{note}\nb"), (2, f"c\n {note}\t\nshort line\nd"), (3, f"short line\n{note}\ne\n{note}\nf"), (4, f"p\nq\nr\n{note}"), (5, "p\nq\nr\ns")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.line_dedup(frame, long_words=8).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("c\nshort line\nd", 1), 3: ("short line\ne\nf", 2), 4: ("p\nq\nr", 1), 5: ("s", 3)}
+    kept = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, frame, "").collect()}
+    assert kept == {i: t for i, (t, _) in got.items()}
+
+
 def test_simhash_contract(docs, rows):
     got = {}
     for r in simhash.document_fingerprints(docs).collect():

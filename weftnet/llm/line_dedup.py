@@ -5,7 +5,9 @@ without spaces, tabs and returns at its ends; lines with an empty key are kept
 and not counted. A window is ``min_run`` consecutive counted lines of one
 document. A line goes if a window that covers it repeats a window (the same
 keys in the same order) that starts earlier: at a smaller doc_id, or earlier in
-the same document. What remains keeps its order, joined by line feeds.
+the same document. What remains keeps its order, joined by line feeds. With ``long_words``, a single
+line of at least as many words that repeats an earlier line goes as well; the
+first occurrence of a line always stays.
 
 Winnowing picks in every window the rightmost line of smallest hash, so equal
 windows pick the same line, and each repeated run of ``min_run`` lines shares a
@@ -79,6 +81,17 @@ def repeated_windows(docs: DataFrame, min_run: int) -> DataFrame:
     return windows.join(first, ["k1", "k2"]).filter(F.struct("_did", "start") > F.col("first")).select("_did", "_th", "start")
 
 
+def repeated_lines(docs: DataFrame, long_words: int) -> DataFrame:
+    """(_did, _th, start): counted lines of ``long_words`` words or more that repeat an earlier one."""
+    keys = F.transform(F.filter(F.split("_text", "\n"), lambda x: _key(x) != ""), _key)
+    words = lambda k: F.size(F.filter(F.split(k, f"[ {BLANKS}]+"), lambda w: w != ""))
+    each = with_row_key(docs).select("_did", "_th", F.posexplode(F.transform(keys, lambda k: F.struct(words(k).alias("n"), F.xxhash64(k).alias("k1"), F.xxhash64(F.reverse(k)).alias("k2")))))
+    each = each.filter(F.col("col.n") >= long_words).select("_did", "_th", F.col("pos").alias("start"), "col.k1", "col.k2")
+    where = F.struct("_did", "start")
+    often = each.groupBy("k1", "k2").agg(F.min(where).alias("first"), F.max(where).alias("last")).filter("first != last")
+    return each.join(often, ["k1", "k2"]).filter(where > F.col("first")).select("_did", "_th", "start")
+
+
 def _let(value: Column, use) -> Column:
     """``use`` of a value that is computed once a row, wherever the optimizer moves it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -103,11 +116,15 @@ def _cut(text: Column, starts: Column, min_run: int) -> Column:
     return F.when(text.isNull(), none).otherwise(_let(F.split(text, "\n"), of))
 
 
-def line_dedup(docs: DataFrame, min_run: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, min_run: int = 3, long_words: int | None = None) -> DataFrame:
     """``docs`` with their text cut, and n_lines, n_removed (long) after its columns."""
     if min_run < 2:
         raise ValueError("min_run must be 2 at least")
-    gone = repeated_windows(docs, min_run).groupBy("_did", "_th").agg(F.collect_set("start").alias("_starts"))
+    gone = repeated_windows(docs, min_run)
+    if long_words is not None:
+        runs = gone.select("_did", "_th", F.explode(F.sequence("start", F.col("start") + min_run - 1)).alias("start"))
+        gone, min_run = runs.unionByName(repeated_lines(docs, long_words)), 1
+    gone = gone.groupBy("_did", "_th").agg(F.collect_set("start").alias("_starts"))
     keyed = docs.withColumns(
         {"_did": F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).cast("long"), "_th": F.xxhash64(text_or_empty())}
     )
