@@ -162,6 +162,23 @@ def test_sentence_pieces(docs, rows, pieces):
     keyed.unpersist()
 
 
+def test_pieces_query_returns_ids_and_decodes_documents(spark, tmp_path):
+    from sentencepiece import SentencePieceProcessor
+
+    from weftnet.llm import queries
+
+    sp = SentencePieceProcessor(model_file=public.path("piece_bpe_32k.model"))
+    texts = ["a b", "a▁b", " two  spaces ", "é́ 日本語 😀\r\nx", "", None, "x" * 90 + " y"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op8_sentence_pieces(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        assert (list(got[i].piece_ids), got[i].n_pieces) == (sp.encode(t or ""), len(sp.encode(t or "")))
+        assert got[i].round_trip == (i != 1)
+    thin = sentence_pieces.document_pieces(frame, sentence_pieces.load_pieces(spark, public.path("piece_bpe_32k.model")))
+    assert {r.doc_id for r in thin.collect() if not r.round_trip} == {1}
+
+
 def test_viterbi_over_a_unigram_table(spark):
     table = {"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -3.0, "▁a": -4.0, "ba": -4.6, "▁ab": -5.5, "abb": -9.0}
     frame = spark.createDataFrame([(p, 300 + k, s) for k, (p, s) in enumerate(table.items())], "piece string, id int, score double")

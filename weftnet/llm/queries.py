@@ -58,7 +58,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = sentence_pieces.load_pieces(spark, _vocabulary("piece_bpe_32k.model"))
-    return sentence_pieces.document_pieces(read_documents(spark, sf_dir), pieces)
+    return sentence_pieces.encoded_documents(read_documents(spark, sf_dir), pieces)
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,11 +198,29 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def decoded_ids(ids: Column, pieces: Pieces) -> Column:
+    """Text of a row's piece ids, read from a constant array of all pieces; an unknown id gives null."""
+    rows = pieces.table.select("id", "piece").collect()  # the model's size
+    codes = {r.id: r.piece.encode().hex() for r in rows} | {pieces.byte0 + b: f"{b:02x}" for b in range(256)}
+    table = F.split(F.lit(",".join(codes.get(k, "") for k in range(max(codes) + 1))), ",")
+    known = F.forall(ids, lambda k: F.coalesce(F.get(table, k), F.lit("")) != "")
+    raw = F.unhex(F.array_join(F.transform(ids, lambda k: F.get(table, k)), ""))
+    return F.when(known, decoded_text(raw))
+
+
+def encoded_documents(docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_pieces, piece_ids, round_trip: whether the ids decode to the row's own text."""
+    ids = encode(docs, pieces)
+    back = F.coalesce(decoded_ids(F.col("piece_ids"), pieces) == text_or_empty(), F.lit(False))
+    return ids.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", back.alias("round_trip"))
+
+
 def document_pieces(docs: DataFrame, pieces: Pieces, frequent: int = 400_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_pieces, pieces_hash, round_trip.
 
     pieces_hash: sum over chunks of the xxhash64 of place and piece ids; round_trip:
-    whether the ids of every chunk decode to it, and so those of the text. The
+    whether the ids of every chunk decode to it, and so those of the text, if that
+    has no U+2581 of its own, which decodes to a space. The
     ``frequent`` most frequent chunks are broadcast (a bounded table); the others
     are joined by a shuffle of their occurrences alone. Texts are not shuffled.
     """
@@ -227,7 +245,7 @@ def document_pieces(docs: DataFrame, pieces: Pieces, frequent: int = 400_000) ->
 
     both = sums(each.filter("v is not null")).unionByName(sums(tail)) if least else sums(each)
     both = both.groupBy("_did", "_th").agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.min("back").alias("back"))
-    copies = keyed.groupBy("_did", "_th").agg(F.count("*").alias("_copies"))
+    copies = keyed.groupBy("_did", "_th").agg(F.count("*").alias("_copies"), F.max(F.col("_text").contains(MARK)).alias("_marked"))
     out = copies.join(both, ["_did", "_th"], "left")
     # equal rows have been summed together: each gets its share
     per = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("_copies")
@@ -235,7 +253,7 @@ def document_pieces(docs: DataFrame, pieces: Pieces, frequent: int = 400_000) ->
         F.nullif("_did", F.lit(NULL_ID)).alias("doc_id"),
         per("n").cast("long").alias("n_pieces"),
         F.coalesce((F.col("h") / F.col("_copies")).cast("decimal(38,0)"), F.lit(0)).cast("string").alias("pieces_hash"),
-        (F.coalesce("back", F.lit(1)) == 1).alias("round_trip"),
+        ((F.coalesce("back", F.lit(1)) == 1) & ~F.col("_marked")).alias("round_trip"),
         F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_c"),
     )
     return each_row.drop("_c")
