@@ -172,3 +172,14 @@ def test_bad_demands():
         D.Problem(problem(*TWO_DROPS).net, [], None, D.Prices())
     with pytest.raises(ValueError):
         D.Problem(problem(*TWO_DROPS).net, [3], [5.0], D.Prices(hub_cap=2))
+
+
+def test_flow_queries_take_all_commodities(spark):
+    from weftnet import queries
+    from weftnet.plans import derive
+
+    sf = "/root/testdata/sf0.001"
+    _, inst = queries._instance(spark, sf)
+    assert len(inst.demand) == derive.trade_arcs(spark, sf).count()
+    row = queries.mcf_solve(spark, sf).first()
+    assert row is not None

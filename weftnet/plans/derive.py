@@ -43,9 +43,9 @@ def trade_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("region"))
 
 
-def trade_commodities(arcs: DataFrame) -> DataFrame:
-    """(k, src, dst, demand): a commodity for each arc out of a nation that five divides."""
-    some = arcs.filter("src_node % 5 = 0")
+def trade_commodities(arcs: DataFrame, step: int = 5) -> DataFrame:
+    """(k, src, dst, demand): a commodity for each arc out of a nation that ``step`` divides; 1 takes all arcs."""
+    some = arcs.filter(F.col("src_node") % step == 0)
     k = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("arc_id")).cast("long") - 1
     return some.select(k.alias("k"), F.col("src_node").alias("src"), F.col("dst_node").alias("dst"), (F.col("qty") % 50 + 1).alias("demand"))
 

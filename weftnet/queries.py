@@ -323,20 +323,18 @@ def _instance(spark, sf_dir) -> tuple[DataFrame, mcf.Instance]:
     te = expand.time_expanded(moves, nodes, 4)
     ids = te.select((F.col("t") * n + F.col("src_node")).alias("src_node"), ((F.col("t") + 1) * n + F.col("dst_node")).alias("dst_node"), "cost", "cap")
     numbered = stage(model.dense(ids, [F.col("src_node"), F.col("dst_node")]).withColumnRenamed("node", "arc_id"))
-    coms = derive.trade_commodities(arcs).filter("k % 4 = 0")
-    k = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("k")).cast("long") - 1
-    coms = coms.select(k.alias("k"), "src", (F.col("dst") + 3 * n).alias("dst"), "demand")
+    coms = derive.trade_commodities(arcs, 1).select("k", "src", (F.col("dst") + 3 * n).alias("dst"), "demand")
     return numbered, mcf.Instance.of(numbered, coms, 4 * n)
 
 
 def mcf_solve(spark, sf_dir):
     _, inst = _instance(spark, sf_dir)
-    return mcf.result_row(spark, mcf.solve(inst, mcf.Options(iterations=60), spark))
+    return mcf.result_row(spark, mcf.solve(inst, mcf.Options(), spark))
 
 
 def mcf_flow(spark, sf_dir):
     arcs, inst = _instance(spark, sf_dir)
-    got = mcf.solve(inst, mcf.Options(iterations=60), spark)
+    got = mcf.solve(inst, mcf.Options(), spark)
     return mcf.flow_table(spark, got).join(arcs, "arc_id")
 
 
