@@ -274,3 +274,48 @@ def test_empty_tables(spark, empty, pieces, tmp_path):
     token_files.encode_documents(empty, str(tmp_path / "none"), public.path("word_bpe_49k.json"))
     assert token_files.document_digests(spark, str(tmp_path / "none")).count() == 0
     assert token_counts.section_tokens(empty, public.path("byte_bpe_50k.tiktoken"), public.PATTERN).count() == 0
+
+
+def test_a_block_is_read_alone():
+    rng = np.random.default_rng(4)
+    ids = (rng.zipf(1.3, 3000) % 49408).astype(np.uint16)
+    coded = range_coder.encode(ids, 512)
+    _, _, ends, _, code = range_coder._head(coded)
+    head = len(coded) - 2 * len(code)
+    for k in range(6):
+        hurt = bytearray(coded)
+        # all other blocks' code is overwritten
+        for j in range(6):
+            if j != k:
+                hurt[head + 2 * ends[j] : head + 2 * ends[j + 1]] = b"\xff" * int(2 * (ends[j + 1] - ends[j]))
+        assert (range_coder.decode_block(bytes(hurt), k) == ids[512 * k : 512 * (k + 1)]).all()
+        with pytest.raises(range_coder.BadBlock):
+            range_coder.decode_block(bytes(hurt), (k + 1) % 6)
+    hurt = bytearray(coded)
+    hurt[20] ^= 1
+    with pytest.raises(range_coder.BadBlock):
+        range_coder.decode(bytes(hurt))
+    with pytest.raises(range_coder.BadBlock):
+        range_coder.decode_block(coded[:30], 0)
+    with pytest.raises(IndexError):
+        range_coder.decode_block(coded, 6)
+
+
+def test_prior_covers_all_ids():
+    shares = np.diff(range_coder.PRIOR.astype(np.int64))
+    assert len(shares) == 1 << 16 and shares.min() >= 1 and shares.sum() == 1 << range_coder.PRIOR_BITS
+
+
+def test_word_encoder_forgets_and_stays_right(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    monkeypatch.setattr(token_files, "MOST_WORDS", 40)
+    monkeypatch.setattr(token_files, "PER_CALL", 7)
+    coder, tokenizer, rng = token_files.WordEncoder(path), Tokenizer.from_file(path), np.random.default_rng(3)
+    odd = ["a|b", "|", "<|endoftext|>", "x y", " ", "it's", "İstanbul", "ΣΑΣ", "́a", "日本語", "3.14", "--|--", "ﬁ", "q̸"]
+    for _ in range(12):
+        texts = [" ".join([odd[rng.integers(len(odd))], *(f"w{rng.integers(60)}" for _ in range(9))]) for _ in range(4)]
+        ids, counts = coder.encode(pa.array(texts), 1)
+        want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]

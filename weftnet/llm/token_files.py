@@ -7,9 +7,11 @@ checksummed blocks. Spark's writer commits the files, so a lost executor leaves
 no half-written shard, and any store that Spark can write to will do.
 ``decode_documents`` reads such a table.
 
-Texts are encoded by the tokenizers library, one distinct blank-separated word
-at a time: the tokenizer drops white space and never joins across it. Each text
-ends with ``end_id``; null counts as empty. Ids must be below 2**16.
+Texts are encoded by the tokenizers library, which gets each distinct
+blank-separated word that a worker does not remember once: the tokenizer drops
+white space and never joins across it. What a worker remembers is bounded and
+decides speed alone. Each text ends with ``end_id``; null counts as empty. Ids
+must be below 2**16.
 
 Null doc_ids come first. Rows that share a doc_id follow each other in the order
 of a hash of their text.
@@ -34,65 +36,122 @@ from weftnet.llm import textkernel as tk
 from weftnet.llm.base import NULL_ID, partitions, shared_dir, text_or_empty
 
 BATCH_BYTES = 2 << 20
-CHUNK_IDS = 4 << 20
-MOST_WORDS = 400_000  # kept encoded in a worker
-MOST_WORD_IDS = 4_000_000
+CHUNK_IDS = 8 << 20
+MOST_WORDS = 600_000  # kept encoded in a worker
+PER_CALL = 1000  # words
 
 
 class WordEncoder:
-    """Token ids of texts; remembers a bounded number of words."""
+    """Token ids of texts; remembers a bounded number of words.
+
+    New words are encoded many at a time, with ``BETWEEN`` between them, where
+    that is a word of one id and no part of another word.
+    """
+
+    BETWEEN = "|"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.held = 0
-        self.begin, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int64)
+        between = self._ids([self.BETWEEN])[0]
+        self.cut = between[0] if len(between) == 1 else None
+        # in the order of their hashes: hash, first id's place and number of ids in ``flat``, batches that had the word
+        self.hash, self.begin = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.length, self.uses = np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        self.flat = np.zeros(0, np.uint16)
 
     def _ids(self, words: list[str]) -> list[list[int]]:
         # offsets aren't needed, and cost more than the ids
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [e.ids for e in encode(words, add_special_tokens=False)]
 
+    def encoded(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word."""
+        out: list = [None] * len(words)
+        # "|" would be taken for a cut; special tokens are found inside of words and have "|", too
+        many = [k for k, x in enumerate(words) if self.BETWEEN not in x] if self.cut is not None else []
+        for at in range(0, len(many), PER_CALL):
+            some = many[at : at + PER_CALL]
+            ids = np.array(self._ids([f" {self.BETWEEN} ".join([words[k] for k in some])])[0], np.int64)
+            cuts = np.flatnonzero(ids == self.cut).tolist()
+            if len(cuts) == len(some) - 1:
+                ids = ids.tolist()
+                for k, x, y in zip(some, [-1, *cuts], [*cuts, len(ids)]):
+                    out[k] = ids[x + 1 : y]
+        alone = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(alone, self._ids([words[k] for k in alone])):
+            out[k] = x
+        return out
+
+    def _forget(self) -> None:
+        """Keep the words that the most batches had, at most half the limit."""
+        half = MOST_WORDS // 2
+        least = 2
+        while (self.uses >= least).sum() > half:
+            least += 1
+        keep = np.flatnonzero(self.uses >= least)
+        length = self.length[keep]
+        self.flat = self.flat[_ranges(self.begin[keep], length)]
+        self.hash, self.length, self.uses = self.hash[keep], length, self.uses[keep] // 2
+        self.begin = np.cumsum(length) - length
+
     def _learn(self, w: tk.Words, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Numbers of distinct words, given by hash and one place each."""
-        if len(self.known) > MOST_WORDS or self.held > MOST_WORD_IDS:
+        """Places of distinct words, in the order of their hashes, given by hash and one place each."""
+        if len(self.hash) > MOST_WORDS:
             self._forget()
-        numbers = [self.known.get(h, -1) for h in hashes.tolist()]
-        new = [k for k, x in enumerate(numbers) if x < 0]
-        if new:
+        place = np.searchsorted(self.hash, hashes)
+        old = place < len(self.hash)
+        old[old] = self.hash[place[old]] == hashes[old]
+        self.uses[place[old]] += self.uses[place[old]] < 255
+        new = np.flatnonzero(~old)
+        if len(new):
             raw = w.data.tobytes()
-            spans = zip(w.starts[at[new]].tolist(), w.ends[at[new]].tolist())
-            coded = self._ids([raw[a:b].decode() for a, b in spans])
-            for k, h in zip(new, hashes[new].tolist()):
-                numbers[k] = self.known[h] = len(self.known)
-            lengths = np.array([len(x) for x in coded], np.int64)
-            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(lengths)])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(coded), np.int64, int(lengths.sum()))])
-            self.held = len(self.flat)
-        return np.array(numbers, np.int64)
+            coded = self.encoded([raw[a:b].decode() for a, b in zip(w.starts[at[new]].tolist(), w.ends[at[new]].tolist())])
+            length = np.fromiter(map(len, coded), np.int64, len(coded))
+            ids = np.fromiter(chain.from_iterable(coded), np.int64, int(length.sum()))
+            if ids.max(initial=0) >= 1 << 16:
+                raise ValueError("ids of 2**16 and more")
+            to = place[new]
+            self.hash = np.insert(self.hash, to, hashes[new])
+            self.begin = np.insert(self.begin, to, len(self.flat) + np.cumsum(length) - length)
+            self.length, self.uses = np.insert(self.length, to, length), np.insert(self.uses, to, np.uint8(1))
+            self.flat = np.concatenate([self.flat, ids.astype(np.uint16)])
+            place += np.cumsum(~old) - ~old
+        return place
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, an end id after each, and how many each has."""
         w = tk.words(texts)
         distinct, at, back = np.unique(w.hashes, return_index=True, return_inverse=True)
         number = self._learn(w, distinct, at)[back] if len(distinct) else np.zeros(0, np.int64)
-        length = (self.begin[number + 1] - self.begin[number]) if len(number) else number
-        upto = np.concatenate([[0], np.cumsum(length)])
-        counts = np.diff(upto[w.of_doc]) + 1
-        out = np.full(counts.sum(), end_id, np.int64)
+        length = self.length[number]
+        counts = np.diff(np.concatenate([[0], np.cumsum(length)])[w.of_doc]) + 1
+        out = np.full(counts.sum(), end_id, np.uint16)
         inner = np.ones(len(out), bool)
         inner[np.cumsum(counts) - 1] = False
-        source = np.arange(upto[-1]) + np.repeat(self.begin[number] - upto[:-1], length) if len(number) else number
-        out[inner] = self.flat[source]
+        out[inner] = self.flat[_ranges(self.begin[number], length)]
         return out, counts
 
 
+def _ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All places of ranges, one after the other."""
+    upto = np.cumsum(length)
+    return np.arange(upto[-1] if len(upto) else 0) + np.repeat(begin - (upto - length), length)
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """This worker's encoder of a tokenizer file; a worker that lives on keeps its words from task to task."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 CHUNKS = "shard int, chunk int, n_docs long, n_ids long, doc_ids binary, counts binary, coded binary"
 
 
@@ -103,14 +162,12 @@ def encode_documents(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1
     rows = rows.repartitionByRange(partitions(spark), "_did", "_th").sortWithinPartitions("_did", "_th").select("_did", "text")
 
     def run(batches):
-        shard, coder, part = TaskContext.get().partitionId(), WordEncoder(tokenizer), 0
+        shard, coder, part = TaskContext.get().partitionId(), word_encoder(tokenizer), 0
         docs_, counts_, ids_, held = [], [], [], 0
 
         def flush():
             ids, counts, docs = np.concatenate(ids_), np.concatenate(counts_), np.concatenate(docs_)
-            if ids.max(initial=0) >= 1 << 16:
-                raise ValueError("ids of 2**16 and more")
-            row = [shard, part, len(docs), len(ids), zlib.compress(np.diff(docs, prepend=0).tobytes()), zlib.compress(counts.astype("<u4").tobytes()), range_coder.encode(ids.astype(np.uint16), block)]
+            row = [shard, part, len(docs), len(ids), zlib.compress(np.diff(docs, prepend=0).tobytes()), zlib.compress(counts.astype("<u4").tobytes()), range_coder.encode(ids, block)]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             names = ["shard", "chunk", "n_docs", "n_ids", "doc_ids", "counts", "coded"]
             return pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds)], names)
@@ -119,7 +176,7 @@ def encode_documents(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1
             numbers = batch.column(0).to_numpy()
             for begin, end in tk.slices(batch.column(1), BATCH_BYTES):
                 ids, counts = coder.encode(batch.column(1).slice(begin, end - begin), end_id)
-                docs_.append(numbers[begin:end]), counts_.append(counts), ids_.append(ids.astype(np.uint32))
+                docs_.append(numbers[begin:end]), counts_.append(counts), ids_.append(ids)
                 held += len(ids)
                 if held >= CHUNK_IDS:
                     yield flush()
