@@ -77,6 +77,17 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Hash of each span of bytes, from one start to the next; bytes of value 0 don't count."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    each = values[data]
+    each *= _power(_RADIX, len(data))
+    hashes = np.add.reduceat(each, starts)
+    hashes *= _power(pow(_RADIX, -1, 2**64), len(data))[starts]
+    return mix(hashes)
+
+
 def words(texts: pa.Array, lower: bool = False) -> Words:
     data, at = bytes_of(texts)
     solid = ~SPACES[data]
@@ -87,17 +98,23 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
     first[edges] = solid[edges]
     last[edges - 1] = solid[edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    if len(starts):
-        values = VALUES[lower][data]
-        values *= _power(_RADIX, len(data))
-        hashes = np.add.reduceat(values, starts)
-        hashes *= _power(pow(_RADIX, -1, 2**64), len(data))[starts]
-        hashes = mix(hashes)
-    else:
-        hashes = np.zeros(0, np.uint64)
+    hashes = span_hashes(data, starts, VALUES[lower])
     return Words(hashes, starts, ends, np.searchsorted(starts, at), data)
 
 
+def run_hashes(sums: np.ndarray, begins: np.ndarray, length: int) -> np.ndarray:
+    """Hash of ``length`` values from each begin on; ``sums``: as made by ``running``."""
+    return mix((sums[begins + length] - sums[begins]) * _power(pow(_RADIX, -1, 2**64), len(sums))[begins])
+
+
+def running(values: np.ndarray) -> np.ndarray:
+    """Sums from which ``run_hashes`` takes the hash of any run of non-negative values."""
+    each = mix((values.astype(np.uint64) + np.uint64(1)) * np.uint64(GOLDEN)) | np.uint64(1)
+    out = np.zeros(len(each) + 1, np.uint64)
+    np.cumsum(each * _power(_RADIX, len(each)), out=out[1:])
+    return out
+
+
 def grams(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of ``size`` words, those across documents included."""
     n = len(hashes) - size + 1
