@@ -181,13 +181,13 @@ class Lattices:
         for these in (np.flatnonzero(~wide), np.flatnonzero(wide)):
             pick, offsets = _gathered(first, these)
             begin = at[pick] - cuts[word[pick]]
-            fields = {"i": pa.array(begin, pa.int32()), "id": pa.array(self.ids[piece[pick]])}
-            fields |= _bits(begin, length[pick], len(out) == 1)
+            fields = {"key": pa.array(_keys(begin, self.ids[piece[pick]]))} | _bits(begin, length[pick], len(out) == 1)
             some, cut = _gathered(late, pick)
             fields["after"] = _lists(cut, pa.array(after[some], pa.int32()))
             edges = _lists(offsets, pa.StructArray.from_arrays(list(fields.values()), list(fields)))
             held, offsets = _gathered(cuts, these)
-            out.append(_one_list(pa.StructArray.from_arrays([_lists(offsets, pa.array(ones[held])), edges], ["ones", "edges"])))
+            keys = _keys(held - np.repeat(cuts[these], np.diff(offsets)), ones[held])
+            out.append(_one_list(pa.StructArray.from_arrays([_lists(offsets, pa.array(keys)), edges], ["ones", "edges"])))
         return out, place
 
     def _holders(self, at, length, piece, word, first) -> tuple[np.ndarray, np.ndarray]:
@@ -212,6 +212,11 @@ def _gathered(cuts: np.ndarray, these: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.arange(offsets[-1]) + np.repeat(cuts[these] - offsets[:-1], many), offsets
 
 
+def _keys(place: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """A place and a piece in one long, which sorts by place."""
+    return place.astype(np.int64) << 32 | ids
+
+
 def _lists(offsets: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
@@ -250,13 +255,13 @@ def _paths(cuts, at, length, ids, cost, byte_at, ones) -> pa.Array:
     return _one_list(pa.StructArray.from_arrays([_lists(cuts, into)], ["into"]))
 
 
-_EDGE = "i: int, id: int, span: bigint, ends: bigint, after: array<int>"
+_EDGE = "key: bigint, span: bigint, ends: bigint, after: array<int>"
 #: Columns of lattices: one list of words for unigram tables, one of words of up to 60 places and one of longer ones for bpe.
 SCHEMAS = {
     "unigram": {"words": "array<struct<into: array<array<struct<i: int, id: int, cost: double>>>>>"},
     "bpe": {
-        "words": f"array<struct<ones: array<int>, edges: array<struct<{_EDGE}>>>>",
-        "wide": "array<struct<ones: array<int>, edges: array<struct<i: int, id: int, w: int, span: bigint, ends: bigint, span2: bigint, ends2: bigint, after: array<int>>>>>",
+        "words": f"array<struct<ones: array<bigint>, edges: array<struct<{_EDGE}>>>>",
+        "wide": "array<struct<ones: array<bigint>, edges: array<struct<key: bigint, w: int, span: bigint, ends: bigint, span2: bigint, ends2: bigint, after: array<int>>>>>",
     },
 }
 
@@ -323,7 +328,7 @@ class _Longs(_Long):
 def _merges(word: Column, masks: _Long) -> Column:
     """Ids of a word: a fold over its edges from best to worst."""
     edges, ones = word["edges"], word["ones"]
-    joins_two = lambda m, e: (masks.ends_within(m, e) == 3) & masks.has_ends(m, e)
+    joins_two = lambda m, e: masks.has_ends(m, e) & (masks.ends_within(m, e) == 3)
 
     def caught_up(mask: Column, e: Column) -> Column:
         """After a merge, the better edges that it brought within reach, best first; each merge takes one of them away."""
@@ -339,10 +344,9 @@ def _merges(word: Column, masks: _Long) -> Column:
         return F.when(joins_two(mask, e), made).otherwise(mask)
 
     def ids(mask: Column) -> Column:
-        piece = lambda i, k: F.struct(i.alias("i"), k.alias("id"))
-        left = F.filter(edges, lambda e: (masks.ends_within(mask, e) == 2) & masks.has_ends(mask, e))
-        single = F.filter(F.transform(ones, lambda k, i: piece(i, k)), lambda x: masks.single(mask, x["i"]))
-        return F.transform(F.array_sort(F.concat(F.transform(left, lambda e: piece(e["i"], e["id"])), single)), lambda x: x["id"])
+        left = F.transform(F.filter(edges, lambda e: masks.has_ends(mask, e) & (masks.ends_within(mask, e) == 2)), lambda e: e["key"])
+        single = F.filter(ones, lambda k: masks.single(mask, F.call_function("shiftright", k, F.lit(32)).cast("int")))
+        return F.transform(F.sort_array(F.concat(left, single)), lambda k: k.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
 
     return _let(F.aggregate(edges, masks.all(F.size(ones)), step), ids)
 
@@ -555,28 +559,57 @@ def decoded_text(raw: Column) -> Column:
     return F.when(text.startswith(" "), F.substring(text, F.lit(2), F.char_length(text))).otherwise(text)
 
 
-def decoded_ids(ids: Column, pieces: Pieces) -> Column:
-    """Text of a row's piece ids, read from a constant array of all pieces; an unknown id gives null."""
-    rows = pieces.table.select("id", "piece").collect()  # the model's size
-    codes = {r.id: r.piece.encode().hex() for r in rows} | {pieces.byte0 + b: f"{b:02x}" for b in range(256)}
-    table = F.split(F.lit(",".join(codes.get(k, "") for k in range(max(codes) + 1))), ",")
-    known = F.forall(ids, lambda k: F.coalesce(F.get(table, k), F.lit("")) != "")
-    raw = F.unhex(F.array_join(F.transform(ids, lambda k: F.get(table, k)), ""))
-    return F.when(known, decoded_text(raw))
+class Decoder:
+    """Texts of piece ids."""
+
+    def __init__(self, rows: list[tuple[str, int, float]], byte0: int):
+        raw = {r[1]: r[0].replace(MARK, " ").encode() for r in rows} | {byte0 + b: bytes([b]) for b in range(256)}
+        each = [raw.get(k, b"") for k in range(max(raw) + 1)]
+        self.length = np.array([len(x) for x in each], np.int64)
+        self.at = np.cumsum(self.length) - self.length
+        self.flat = np.frombuffer(b"".join(each), np.uint8)
+
+    def texts(self, ids: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 of rows of ids, and where each row's begins (and the end), without the space put first."""
+        length = self.length[ids]
+        upto = np.concatenate([[0], np.cumsum(length)])
+        out = self.flat[np.arange(upto[-1]) + np.repeat(self.at[ids] - upto[:-1], length)]
+        at = upto[cuts]
+        first = at[:-1][at[:-1] < at[1:]]
+        keep = np.ones(len(out), bool)
+        keep[first[out[first] == 0x20]] = False
+        return out[keep], np.concatenate([[0], np.cumsum(keep)])[at]
 
 
-def _round_trip(pieces: Pieces) -> Column:
-    return F.coalesce(decoded_ids(F.col("piece_ids"), pieces) == text_or_empty(), F.lit(False))
+def with_round_trip(coded: DataFrame, pieces: Pieces) -> DataFrame:
+    """``coded`` (doc_id, text, piece_ids) as doc_id, piece_ids, round_trip: whether a row's ids decode to its own text."""
+    rows = [tuple(r) for r in pieces.table.select("piece", "id", "score").collect()]
+    decoder = coded.sparkSession.sparkContext.broadcast(Decoder(rows, pieces.byte0))
+
+    def run(batches):
+        for batch in _batches(batches, "text"):
+            lists = batch.column("piece_ids")
+            cuts = lists.offsets.to_numpy().astype(np.int64)
+            back, at = decoder.value.texts(lists.values.to_numpy()[cuts[0] : cuts[-1]], cuts - cuts[0])
+            text, to = tk.bytes_of(batch.column("text"))
+            same = np.diff(at) == np.diff(to)
+            raw, own = back.tobytes(), text.tobytes()
+            good = [s and raw[a:b] == own[c:d] for s, a, b, c, d in zip(same.tolist(), at[:-1].tolist(), at[1:].tolist(), to[:-1].tolist(), to[1:].tolist())]
+            yield pa.record_batch([batch.column("doc_id"), lists, pa.array(good, pa.bool_())], ["doc_id", "piece_ids", "round_trip"])
+
+    kind = coded.schema["doc_id"].dataType.simpleString()
+    rows = coded.select("doc_id", text_or_empty().alias("text"), "piece_ids")
+    return rows.mapInArrow(run, f"doc_id {kind}, piece_ids array<int>, round_trip boolean")
 
 
 def encoded_documents(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_pieces, piece_ids, round_trip: whether the ids decode to the row's own text."""
-    ids = encode(docs.select("doc_id", "text"), pieces)
-    return ids.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", _round_trip(pieces).alias("round_trip"))
+    rows = with_round_trip(encode(docs.select("doc_id", "text"), pieces), pieces)
+    return rows.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", "round_trip")
 
 
 def document_pieces(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_pieces, pieces_hash (xxhash64 of the ids in their order), round_trip, as above."""
-    ids = encode(docs.select("doc_id", "text"), pieces, frequent)
+    rows = with_round_trip(encode(docs.select("doc_id", "text"), pieces, frequent), pieces)
     digest = F.xxhash64("piece_ids").cast("string")
-    return ids.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), digest.alias("pieces_hash"), _round_trip(pieces).alias("round_trip"))
+    return rows.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), digest.alias("pieces_hash"), "round_trip")
