@@ -313,7 +313,7 @@ def test_word_encoder_forgets_and_stays_right(monkeypatch):
     monkeypatch.setattr(token_files, "MOST_WORDS", 40)
     monkeypatch.setattr(token_files, "PER_CALL", 7)
     coder, tokenizer, rng = token_files.WordEncoder(path), Tokenizer.from_file(path), np.random.default_rng(3)
-    odd = ["a|b", "|", "<|endoftext|>", "x y", " ", "it's", "İstanbul", "ΣΑΣ", "́a", "日本語", "3.14", "--|--", "ﬁ", "q̸"]
+    odd = ["a|b", "|", "<|endoftext|>", "x y", " ", "it's", "İstanbul", "ΣΑΣ", "́a", "日本語", "3.14", "--|--", "ﬁ", "q̸", "end.", "Fin!?", "ß,", "ǅ.", "가", "ᄀᄀᆞᆫ", "aͅ"]
     for _ in range(12):
         texts = [" ".join([odd[rng.integers(len(odd))], *(f"w{rng.integers(60)}" for _ in range(9))]) for _ in range(4)]
         ids, counts = coder.encode(pa.array(texts), 1)

@@ -294,27 +294,23 @@ def _decoded(code: list[np.ndarray], steps: int) -> np.ndarray:
         sure = seen & 3
         named = seen >> 2
         a, b, c = _parts(shares.now(sure), bits > 0)
-        rest = WHOLE - c
         span >>= U(TOTAL)
         to = np.minimum((value - low) // span, WHOLE - U(1))
-        inner = np.where(to >= c, to - c, U(0))
-        # the last share that begins at or below ``inner``
-        now = _PRIOR_ID[np.minimum((((inner + U(1)) << U(PRIOR_BITS)) - U(1)) // rest, U((1 << PRIOR_BITS) - 1))]
-        begin = c + (rest * PRIOR[now] >> U(PRIOR_BITS))
-        end = c + (rest * PRIOR[now.astype(np.int32) + 1] >> U(PRIOR_BITS))
+        is2, is1 = to < a, (to >= a) & (to < b)
+        begin, end, now = np.where(is2, U(0), a), np.where(is2, a, b), np.where(is2, named[0], named[1]).astype(np.uint16)
         among = None
         if bits:
-            # the two contexts' parts end at b; of the rest, what ends at c is order 0's
-            among, part, by = (to >= b) & (to < c), c - b, U(bits)
-            inner = np.where(among, to - b, U(0))
-            at0 = np.minimum((((inner + U(1)) << by) - U(1)) // part, U((1 << bits) - 1)).astype(np.int64) + shift
-            np.copyto(now, known[at0], where=among)
-            np.copyto(begin, b + (part * begins[at0] >> by), where=among)
-            np.copyto(end, b + (part * ends[at0] >> by), where=among)
-        is2, is1 = to < a, (to >= a) & (to < b)
-        np.copyto(begin, a, where=is1), np.copyto(end, b, where=is1)
-        np.copyto(begin, U(0), where=is2), np.copyto(end, a, where=is2)
-        np.copyto(now, named[1], where=is1, casting="unsafe"), np.copyto(now, named[0], where=is2, casting="unsafe")
+            among = (to >= b) & (to < c)
+            k = np.flatnonzero(among)
+            low0, part, by = b[k], c[k] - b[k], U(bits)
+            # the last of the counted that begins at or below it
+            spot = ((((to[k] - low0 + U(1)) << by) - U(1)) // part).astype(np.int64) + shift[k]
+            now[k], begin[k], end[k] = known[spot], low0 + (part * begins[spot] >> by), low0 + (part * ends[spot] >> by)
+        k = np.flatnonzero(to >= c)
+        low0 = c[k]
+        rest = WHOLE - low0
+        new = _PRIOR_ID[(((to[k] - low0 + U(1)) << U(PRIOR_BITS)) - U(1)) // rest]
+        now[k], begin[k], end[k] = new, low0 + (rest * PRIOR[new] >> U(PRIOR_BITS)), low0 + (rest * PRIOR[new.astype(np.int32) + 1] >> U(PRIOR_BITS))
         low += begin * span
         span *= end - begin
         while True:

@@ -51,7 +51,8 @@ MARK = "▁"
 MASK = 60  # places in a long
 FAR = 1e9  # cost of a byte's piece in a path
 FREQUENT = 400_000
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
+BATCH_IDS = 1 << 18
 BYTES = 0x110000  # places that stand for bytes follow the code points
 
 
@@ -488,7 +489,13 @@ def known_chunks(chosen: DataFrame, lattices, kind: str) -> Known:
 
 def encode(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> DataFrame:
     """``docs`` with piece_ids (array<int>) after its columns."""
-    docs, kind = docs.drop("piece_ids"), pieces.kind
+    docs = docs.drop("piece_ids")
+    return _encoded(docs, docs.columns, pieces, frequent)
+
+
+def _encoded(docs: DataFrame, columns: list[str], pieces: Pieces, frequent: int) -> DataFrame:
+    """Some columns of ``docs``, with piece_ids."""
+    kind = pieces.kind
     context = docs.sparkSession.sparkContext
     lattices = context.broadcast(_lattices(pieces))
     known = context.broadcast(known_chunks(most_frequent(staged(repeated(docs)), frequent), lattices, kind))
@@ -501,7 +508,7 @@ def encode(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> DataFra
             place = np.searchsorted(table.hashes, distinct)
             old = place < len(table.hashes)
             old[old] = table.hashes[place[old]] == distinct[old]
-            columns, spot = lattices.value.rows(c.texts(at[~old]))
+            lists, spot = lattices.value.rows(c.texts(at[~old]))
             hole = np.full(len(distinct), -1, np.int64)
             hole[~old] = spot
             begin, length = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
@@ -509,9 +516,9 @@ def encode(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> DataFra
             runs, ids = _runs(c.of_doc, hole[back], begin[back], length[back], table.flat)
             n = batch.num_rows
             rows = pa.StructArray.from_arrays([batch.column("_row"), _lists(runs[0], pa.StructArray.from_arrays([_lists(runs[1], ids), runs[2]], ["ids", "hole"]))], ["row", "runs"])
-            yield pa.record_batch([_lists(np.array([0, n]), rows), *columns], ["docs", *SCHEMAS[kind]])
+            yield pa.record_batch([_lists(np.array([0, n]), rows), *lists], ["docs", *SCHEMAS[kind]])
 
-    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    row = F.struct(*[docs[f"`{c}`"] for c in columns])
     kept = docs.select(row.alias("_row"), text_or_empty().alias("_text"))
     shape = kept.schema["_row"].dataType.simpleString()
     fields = [f"docs array<struct<row: {shape}, runs: array<struct<ids: array<int>, hole: int>>>>", *[f"{k} {v}" for k, v in SCHEMAS[kind].items()]]
@@ -522,7 +529,7 @@ def encode(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> DataFra
         return F.transform("docs", lambda d: F.struct(d["row"].alias("row"), F.flatten(F.transform(d["runs"], part)).alias("piece_ids")))
 
     out = coded.select(F.explode(_let(_folded(kind), filled)).alias("x"))
-    return out.select(*[F.col(f"x.row.`{c}`").alias(c) for c in docs.columns], "x.piece_ids")
+    return out.select(*[F.col(f"x.row.`{c}`").alias(c) for c in columns], "x.piece_ids")
 
 
 def _runs(of_doc: np.ndarray, hole: np.ndarray, begin: np.ndarray, length: np.ndarray, flat: np.ndarray):
@@ -581,35 +588,40 @@ class Decoder:
         return out[keep], np.concatenate([[0], np.cumsum(keep)])[at]
 
 
-def with_round_trip(coded: DataFrame, pieces: Pieces) -> DataFrame:
-    """``coded`` (doc_id, text, piece_ids) as doc_id, piece_ids, round_trip: whether a row's ids decode to its own text."""
+def with_round_trip(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> DataFrame:
+    """One row per row of ``docs``: doc_id, piece_ids, round_trip: whether the ids decode to the row's own text (by xxhash64)."""
     rows = [tuple(r) for r in pieces.table.select("piece", "id", "score").collect()]
-    decoder = coded.sparkSession.sparkContext.broadcast(Decoder(rows, pieces.byte0))
+    decoder = docs.sparkSession.sparkContext.broadcast(Decoder(rows, pieces.byte0))
 
     def run(batches):
-        for batch in _batches(batches, "text"):
-            lists = batch.column("piece_ids")
-            cuts = lists.offsets.to_numpy().astype(np.int64)
-            back, at = decoder.value.texts(lists.values.to_numpy()[cuts[0] : cuts[-1]], cuts - cuts[0])
-            text, to = tk.bytes_of(batch.column("text"))
-            same = np.diff(at) == np.diff(to)
-            raw, own = back.tobytes(), text.tobytes()
-            good = [s and raw[a:b] == own[c:d] for s, a, b, c, d in zip(same.tolist(), at[:-1].tolist(), at[1:].tolist(), to[:-1].tolist(), to[1:].tolist())]
-            yield pa.record_batch([batch.column("doc_id"), lists, pa.array(good, pa.bool_())], ["doc_id", "piece_ids", "round_trip"])
+        from xxhash import xxh64_intdigest
 
-    kind = coded.schema["doc_id"].dataType.simpleString()
-    rows = coded.select("doc_id", text_or_empty().alias("text"), "piece_ids")
-    return rows.mapInArrow(run, f"doc_id {kind}, piece_ids array<int>, round_trip boolean")
+        for batch in batches:
+            lists = batch.column("piece_ids")
+            cuts, begin = lists.offsets.to_numpy().astype(np.int64), 0
+            while begin < len(lists):
+                end = max(begin + 1, int(np.searchsorted(cuts, cuts[begin] + BATCH_IDS, "right")) - 1)
+                part = batch.slice(begin, end - begin)
+                raw, at = decoder.value.texts(lists.values.to_numpy()[cuts[begin] : cuts[end]], cuts[begin : end + 1] - cuts[begin])
+                raw = memoryview(raw)
+                digests = [xxh64_intdigest(raw[a:b], 42) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                good = pa.array(np.array(digests, np.uint64).view(np.int64) == part.column("_th").to_numpy())
+                yield pa.record_batch([part.column("doc_id"), part.column("piece_ids"), good], ["doc_id", "piece_ids", "round_trip"])
+                begin = end
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    keyed = docs.select("doc_id", "text", F.xxhash64(text_or_empty()).alias("_th"))
+    return _encoded(keyed, ["doc_id", "_th"], pieces, frequent).mapInArrow(run, f"doc_id {kind}, piece_ids array<int>, round_trip boolean")
 
 
 def encoded_documents(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_pieces, piece_ids, round_trip: whether the ids decode to the row's own text."""
-    rows = with_round_trip(encode(docs.select("doc_id", "text"), pieces), pieces)
+    rows = with_round_trip(docs, pieces)
     return rows.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", "round_trip")
 
 
 def document_pieces(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_pieces, pieces_hash (xxhash64 of the ids in their order), round_trip, as above."""
-    rows = with_round_trip(encode(docs.select("doc_id", "text"), pieces, frequent), pieces)
+    rows = with_round_trip(docs, pieces, frequent)
     digest = F.xxhash64("piece_ids").cast("string")
     return rows.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), digest.alias("pieces_hash"), "round_trip")

@@ -19,6 +19,7 @@ of a hash of their text.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -37,18 +38,21 @@ from weftnet.llm.base import NULL_ID, partitions, shared_dir, text_or_empty
 
 BATCH_BYTES = 2 << 20
 CHUNK_IDS = 8 << 20
-MOST_WORDS = 600_000  # kept encoded in a worker
+MOST_WORDS = 1_500_000  # kept encoded in a worker
 PER_CALL = 1000  # words
 
 
 class WordEncoder:
     """Token ids of texts; remembers a bounded number of words.
 
-    New words are encoded many at a time, with ``BETWEEN`` between them, where
-    that is a word of one id and no part of another word.
+    New words are encoded many a call. Words of letters, and words of letters and
+    then a mark or more, are one and two runs for the tokenizer; where its tokens
+    tell the ends of runs, such words need only blanks between them. Between others
+    stands ``BETWEEN``, where that is a word of one id and no part of another word.
     """
 
     BETWEEN = "|"
+    MARKS = ",.;:!?"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,9 +61,13 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         between = self._ids([self.BETWEEN])[0]
         self.cut = between[0] if len(between) == 1 else None
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        ends = [k for x, k in self.tokenizer.get_vocab().items() if suffix and x.endswith(suffix)]
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[k for k in ends if k < 1 << 16]] = True
         # in the order of their hashes: hash, first id's place and number of ids in ``flat``, batches that had the word
         self.hash, self.begin = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.length, self.uses = np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        self.length, self.uses = np.zeros(0, np.int32), np.zeros(0, np.uint8)
         self.flat = np.zeros(0, np.uint16)
 
     def _ids(self, words: list[str]) -> list[list[int]]:
@@ -67,11 +75,34 @@ class WordEncoder:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [e.ids for e in encode(words, add_special_tokens=False)]
 
+    def _runs(self, word: str) -> int:
+        """1 or 2 if the word is surely so many runs; 0: not known."""
+        if word.isalpha():
+            return 1
+        return 2 if word.rstrip(self.MARKS).isalpha() else 0
+
     def encoded(self, words: list[str]) -> list[list[int]]:
         """Ids of each word."""
         out: list = [None] * len(words)
+        kinds: list[list[int]] = [[], [], []]
+        for k, x in enumerate(words):
+            kinds[self._runs(x)].append(k)
+        if not self.ends.any():
+            kinds = [[k for kind in kinds for k in kind], [], []]
+        for runs in (1, 2):
+            for at in range(0, len(kinds[runs]), PER_CALL):
+                some = kinds[runs][at : at + PER_CALL]
+                ids = np.array(self._ids([" ".join([words[k] for k in some])])[0], np.int64)
+                cuts = np.flatnonzero(self.ends[ids]) + 1
+                # each word has as many runs at least, so by their sum it has just as many
+                if len(cuts) == runs * len(some):
+                    cuts, ids = [0, *cuts[runs - 1 :: runs].tolist()], ids.tolist()
+                    for k, x, y in zip(some, cuts, cuts[1:]):
+                        out[k] = ids[x:y]
+                else:
+                    kinds[0] += some
         # "|" would be taken for a cut; special tokens are found inside of words and have "|", too
-        many = [k for k, x in enumerate(words) if self.BETWEEN not in x] if self.cut is not None else []
+        many = [k for k in kinds[0] if self.BETWEEN not in words[k]] if self.cut is not None else []
         for at in range(0, len(many), PER_CALL):
             some = many[at : at + PER_CALL]
             ids = np.array(self._ids([f" {self.BETWEEN} ".join([words[k] for k in some])])[0], np.int64)
@@ -95,7 +126,7 @@ class WordEncoder:
         length = self.length[keep]
         self.flat = self.flat[_ranges(self.begin[keep], length)]
         self.hash, self.length, self.uses = self.hash[keep], length, self.uses[keep] // 2
-        self.begin = np.cumsum(length) - length
+        self.begin = np.cumsum(length, dtype=np.int64) - length
 
     def _learn(self, w: tk.Words, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Places of distinct words, in the order of their hashes, given by hash and one place each."""
@@ -109,13 +140,13 @@ class WordEncoder:
         if len(new):
             raw = w.data.tobytes()
             coded = self.encoded([raw[a:b].decode() for a, b in zip(w.starts[at[new]].tolist(), w.ends[at[new]].tolist())])
-            length = np.fromiter(map(len, coded), np.int64, len(coded))
+            length = np.fromiter(map(len, coded), np.int32, len(coded))
             ids = np.fromiter(chain.from_iterable(coded), np.int64, int(length.sum()))
             if ids.max(initial=0) >= 1 << 16:
                 raise ValueError("ids of 2**16 and more")
             to = place[new]
             self.hash = np.insert(self.hash, to, hashes[new])
-            self.begin = np.insert(self.begin, to, len(self.flat) + np.cumsum(length) - length)
+            self.begin = np.insert(self.begin, to, len(self.flat) + np.cumsum(length, dtype=np.int64) - length)
             self.length, self.uses = np.insert(self.length, to, length), np.insert(self.uses, to, np.uint8(1))
             self.flat = np.concatenate([self.flat, ids.astype(np.uint16)])
             place += np.cumsum(~old) - ~old
@@ -127,7 +158,7 @@ class WordEncoder:
         distinct, at, back = np.unique(w.hashes, return_index=True, return_inverse=True)
         number = self._learn(w, distinct, at)[back] if len(distinct) else np.zeros(0, np.int64)
         length = self.length[number]
-        counts = np.diff(np.concatenate([[0], np.cumsum(length)])[w.of_doc]) + 1
+        counts = np.diff(np.concatenate([[0], np.cumsum(length, dtype=np.int64)])[w.of_doc]) + 1
         out = np.full(counts.sum(), end_id, np.uint16)
         inner = np.ones(len(out), bool)
         inner[np.cumsum(counts) - 1] = False
@@ -137,7 +168,7 @@ class WordEncoder:
 
 def _ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     """All places of ranges, one after the other."""
-    upto = np.cumsum(length)
+    upto = np.cumsum(length, dtype=np.int64)
     return np.arange(upto[-1] if len(upto) else 0) + np.repeat(begin - (upto - length), length)
 
 
