@@ -319,3 +319,20 @@ def test_word_encoder_forgets_and_stays_right(monkeypatch):
         ids, counts = coder.encode(pa.array(texts), 1)
         want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
         assert counts.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
+
+
+def test_texts_that_share_an_id_have_links_of_their_own(spark):
+    import random
+
+    rng = random.Random(11)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))
+    rows = [(7, "one short text of its own with some words", 1), (7, long, 2), (9, long + " tail", 3), (9, long + " tail", 4), (None, long, 5), (5, "", 6), (4, None, 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_shingles long").repartition(3)
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_jaccard.jaccard_components(frame).collect()}
+    assert got == {(7, 5): 7, (7, 196): 7, (9, 197): 7, (None, 196): None, (5, 0): 5, (4, 0): 4}
+    kept = ngram_jaccard.kept_documents(frame)
+    assert kept.columns == frame.columns
+    # the row of 7 that is like 9's stays for both, the other row of 7 for itself
+    assert sorted(r.n_shingles for r in kept.collect()) == [1, 2, 5, 6, 7]
+    twice = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (2, "q", "z")], "doc_id long, text string, _twice_id string")
+    assert sorted((r.doc_id, r.text) for r in ngram_jaccard.kept_documents(twice).collect()) == [(1, "a b c d e f"), (2, "q")]

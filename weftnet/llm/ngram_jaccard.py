@@ -17,23 +17,29 @@ are frequent in a bounded sample last; it decides speed alone. Sets up to 64
 shingles take a block for each shingle. A document also joins in the next size
 band if a partner may be there, so each pair meets in its larger one's band.
 
-Join. Keys are dealt to as many buckets as shuffle partitions. A key's documents
+Equal sets are one node, named by a hash of their digest, so a text and its copies
+are joined and verified once, and rows that share a doc_id with different texts are
+nodes of their own.
+
+Join. Keys are dealt to buckets, which tasks take one after the other. A key's sets
 are grouped by tiers of sizes, each with the tier below, as sets of other sizes
-can't link. In a group of
-equal keys of at most ``small`` documents all pairs are candidates; in a larger
-one each document is a candidate with the smallest id, and the members are
-noted. Of a candidate pair first the bit sketches are compared: the parity of
+can't link. In a group of at most ``small`` sets all pairs are candidates; in a
+larger one each set is a candidate with the smallest, and the members are noted.
+With each key comes the next smaller key of its set: where two sets agree on that,
+too, they meet there as well, so a pair is made only where a run of shared keys
+begins. Of a candidate pair first the bit sketches are compared: the parity of
 the hashes that fall on each of 2n to 4n bits. Where their Hamming distance is
-above D the pair can't link; the others are verified on their whole sets. Where a noted group has
-members in several components after that, they are compared by sketch in blocks,
-all pairs across components, and what passes is verified, so no link between
-components is lost. Where groups are very large, ``pivot_rounds`` first tries
-members of three components against the others. Equal sets are linked
-by digest beforehand and are one row in all this.
-
-Results: one row per row of the input with doc_id, n_shingles, component_id.
-Null text: no shingles. A null doc_id takes no part: its component is null.
-Rows that repeat a doc_id are one node; each keeps its own n_shingles.
+above D the pair can't link; the others are verified on their whole sets. Where a
+noted group has members in several components after that, they are compared by
+sketch in blocks, all pairs across components, and what passes is verified, so no
+link between components is lost. Where groups are very large, ``pivot_rounds`` first
+tries members of three components against the others.
+
+Results: one row per row of the input with doc_id, n_shingles, component_id, the
+smallest doc_id that can be reached by links of any row's text. Null text: no
+shingles. A null doc_id takes no part: its component is null. Rows that repeat a
+doc_id are reached together; each keeps its own n_shingles. Other columns of the
+input are not read.
 """
 
 from __future__ import annotations
@@ -41,6 +47,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +56,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftnet.llm import textkernel as tk
-from weftnet.llm.base import partitions, staged
+from weftnet.llm.base import partitions, staged, text_or_empty
 from weftnet.llm.components import components
 
 BAND = 16  # sizes of a band grow by this factor
@@ -155,117 +162,168 @@ def _hot_table(docs: DataFrame, width: int, sample: int) -> np.ndarray:
     return np.packbits(hot)
 
 
-ROWS = "bucket int, keys binary, ids binary, tiers binary, doc_id long, n_shingles long, d0 long, d1 long, sketch binary"
-DOC = ("doc_id", "n_shingles", "d0", "d1", "sketch")
+ROWS = "bucket int, keys binary, before binary, ids binary, tiers binary, doc_id long, th long, id long, n_shingles long, sketch binary"
+DOC = ("doc_id", "th", "id", "n_shingles", "sketch")
+KEY = {"keys": np.uint64, "before": np.uint64, "ids": np.int64, "tiers": np.uint8}
+FLUSH = 1_000_000  # keys
+
+
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
+
+
+def _rows(schema: pa.Schema, n: int, given: dict) -> pa.RecordBatch:
+    """``n`` rows with the given columns; the others are null."""
+    return pa.record_batch([pa.array(given[f.name], f.type) if f.name in given else pa.nulls(n, f.type) for f in schema], schema)
+
+
+def node_of(sets: np.ndarray) -> int:
+    """A name for all equal sets."""
+    n, d0, d1 = digest(sets)
+    parts = np.array([n, d0 & 2**64 - 1, d1 & 2**64 - 1], np.uint64)
+    return int(tk.mix(np.array([(parts * np.array([tk.odd(k) for k in range(3)])).sum(dtype=np.uint64)]))[0].view(np.int64))
 
 
 def _emit(docs: DataFrame, width: int, num: int, den: int, hot: np.ndarray, buckets: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
-        table = shared.value
-        keys, ids, tiers, held, seen = [], [], [], 0, set()
+        table, schema = shared.value, _schema(ROWS)
+        keys, names, held, seen = [], [], 0, set()
 
         def flush():
             if not keys:
                 return
-            k, i, s = np.concatenate(keys), np.concatenate(ids), np.concatenate(tiers)
-            parts = list(tk.packed((k % np.uint64(buckets)).astype(np.int64), [k, i, s], buckets))
-            none = pa.nulls(len(parts), pa.int64())
-            columns = [pa.array([g for g, _ in parts], pa.int32()), *[pa.array([c[j] for _, c in parts], pa.binary()) for j in (0, 1, 2)]]
-            yield pa.record_batch([*columns, none, none, none, none, pa.nulls(len(parts), pa.binary())], schema)
-            keys.clear(), ids.clear(), tiers.clear(), seen.clear()
-
-        schema = pa.schema(
-            [("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("tiers", pa.binary()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d0", pa.int64()), ("d1", pa.int64()), ("sketch", pa.binary())]
-        )
+            many = np.array([len(k) for k in keys])
+            k = np.concatenate(keys)
+            before = np.concatenate([[0], k[:-1]]).astype(np.uint64)
+            before[np.cumsum(many) - many] = 0  # a set's smallest key has none before it
+            ids = np.repeat(np.array([x for x, _ in names], np.int64), many)
+            tiers = np.repeat(np.array([x for _, x in names], np.uint8), many)
+            parts = list(tk.packed((k % np.uint64(buckets)).astype(np.int64), [k, before, ids, tiers], buckets))
+            yield _rows(schema, len(parts), {"bucket": [g for g, _ in parts]} | {c: [x[j] for _, x in parts] for j, c in enumerate(KEY)})
+            keys.clear(), names.clear(), seen.clear()
+
         for batch in batches:
             rows = []
-            for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width)):
-                n, d0, d1 = digest(s)
-                rows.append((doc, n, d0, d1, bit_sketch(s)))
-                if doc is None or not n or (n, d0, d1) in seen:
+            for doc, th, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2), width)):
+                n, name = len(s), node_of(s)
+                rows.append((doc, th, name, n, bit_sketch(s)))
+                if doc is None or not n or name in seen:
                     continue
-                seen.add((n, d0, d1))
+                seen.add(name)
                 apart, band = most_apart(n, num, den), band_of(n)
                 for b in range(band, band_of(n * den // num) + 1):
-                    k = join_keys(s, b, apart, table)
-                    keys.append(k), ids.append(np.full(len(k), doc, np.int64)), tiers.append(np.full(len(k), size_tier(n, num, den), np.uint8))
+                    k = np.sort(join_keys(s, b, apart, table))
+                    keys.append(k), names.append((name, size_tier(n, num, den)))
                     held += len(k)
-                if held >= 2_000_000:
+                if held >= FLUSH:
                     yield from flush()
                     held = 0
-            at = [(r[0] or 0) % buckets for r in rows]
-            yield pa.record_batch([pa.array(at, pa.int32()), *[pa.nulls(len(rows), pa.binary())] * 3, *[pa.array([r[j] for r in rows], pa.int64()) for j in range(4)], pa.array([r[4] for r in rows], pa.binary())], schema)
+            for c in range(0, len(rows), 2000):
+                part = rows[c : c + 2000]
+                yield _rows(schema, len(part), {"bucket": [(r[0] or 0) % buckets for r in part]} | {name: [r[j] for r in part] for j, name in enumerate(DOC)})
         yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, ROWS)
-
-
-MET = "kind int, a long, b long, doc_id long, n_shingles long, d0 long, d1 long, sketch binary, members binary"
+    return docs.select("doc_id", "th", "text").mapInArrow(run, ROWS)
+
+
+MET = "kind int, a long, b long, doc_id long, th long, id long, n_shingles long, sketch binary, members binary"
+
+
+def _groups(keys: np.ndarray, before: np.ndarray, ids: np.ndarray, tiers: np.ndarray, small: int):
+    """Candidate pairs (a < b) of a bucket, and the members of its larger groups."""
+    keys, rows = tiered(keys, np.arange(len(ids)), tiers)
+    ids, before = ids[rows], before[rows]
+    order = np.lexsort((ids, keys))
+    keys, ids, before = keys[order], ids[order], before[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+    keys, ids, before = keys[fresh], ids[fresh], before[fresh]
+    starts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    sizes = np.diff(starts, append=len(keys))
+    # places of the two of each pair
+    low, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size in range(2, small + 1):
+        at = starts[sizes == size]
+        for x, y in combinations(range(size), 2):
+            low.append(at + x), high.append(at + y)
+    large = np.flatnonzero(sizes > small)
+    for at, size in zip(starts[large].tolist(), sizes[large].tolist()):
+        low.append(np.full(size - 1, at)), high.append(np.arange(at + 1, at + size))
+    low, high = np.concatenate(low), np.concatenate(high)
+    new = (before[low] != before[high]) | (before[low] == 0)
+    pairs = np.stack([ids[low[new]], ids[high[new]]], 1)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    keep = np.ones(len(pairs), bool)
+    keep[1:] = (pairs[1:] != pairs[:-1]).any(1)
+    return pairs[keep], [ids[at : at + size].copy() for at, size in zip(starts[large], sizes[large])]
 
 
 def _meet(entries: DataFrame, small: int) -> DataFrame:
-    """kind 0: candidate pair a < b; 1: members of a large group, in chunks (a: the group, b: its size); 2: a document."""
+    """kind 0: candidate pair a < b; 1: members of a large group, in chunks (a: the group, b: its size); 2: a document.
+
+    Tasks get their buckets in order and hold one at a time.
+    """
 
     def run(batches):
-        schema = pa.schema(
-            [("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d0", pa.int64()), ("d1", pa.int64()), ("sketch", pa.binary()), ("members", pa.binary())]
-        )
+        schema = _schema(MET)
+        noted, held, now = set(), {c: [] for c in KEY}, None
 
-        def rows(kind, n, **columns):
-            given = [columns.get(f.name, pa.nulls(n, f.type)) for f in schema][1:]
-            return pa.record_batch([pa.array(np.full(n, kind, np.int32)), *given], schema)
+        def settled():
+            if not held["keys"]:
+                return
+            pairs, groups = _groups(*[np.concatenate(held[c]) for c in KEY], small)
+            for c in KEY:
+                held[c].clear()
+            for c in range(0, len(pairs), 50_000):
+                part = pairs[c : c + 50_000]
+                yield _rows(schema, len(part), {"kind": np.zeros(len(part), np.int32), "a": part[:, 0], "b": part[:, 1]})
+            for members in groups:
+                name = (len(members), int(tk.mix(members.view(np.uint64)).sum(dtype=np.uint64).view(np.int64)))
+                if name in noted:
+                    continue
+                if len(noted) < 1_000_000:  # else it may be noted again, which is undone later
+                    noted.add(name)
+                chunks = [members[c : c + CHUNK].tobytes() for c in range(0, len(members), CHUNK)]
+                n = len(chunks)
+                yield _rows(schema, n, {"kind": [1] * n, "a": [name[1]] * n, "b": [name[0]] * n, "members": chunks})
 
-        keys, ids, tiers = [], [], []
         for batch in batches:
-            for name, kind, to in (("keys", np.uint64, keys), ("ids", np.int64, ids), ("tiers", np.uint8, tiers)):
-                to += [np.frombuffer(x, kind) for x in batch.column(name).to_pylist() if x is not None]
             docs = pa.Table.from_batches([batch])
             docs = docs.filter(pc.is_valid(docs["n_shingles"])).combine_chunks()
             if docs.num_rows:
-                yield rows(2, docs.num_rows, **{c: docs[c].combine_chunks() for c in DOC})
-        if not keys:
-            return
-        keys, ids = tiered(np.concatenate(keys), np.concatenate(ids), np.concatenate(tiers))
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
-        fresh = np.ones(len(keys), bool)
-        fresh[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-        keys, ids = keys[fresh], ids[fresh]
-        starts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
-        sizes = np.diff(starts, append=len(keys))
-        pairs = [np.zeros((0, 2), np.int64)]
-        for size in range(2, small + 1):
-            at = starts[sizes == size]
-            for x, y in combinations(range(size), 2):
-                pairs.append(np.stack([ids[at + x], ids[at + y]], 1))
-        noted = set()
-        for at, size in zip(starts[sizes > small], sizes[sizes > small]):
-            members = ids[at : at + size].copy()
-            name = (int(size), int(tk.mix(members.view(np.uint64)).sum(dtype=np.uint64).view(np.int64)))
-            if name in noted:
-                continue
-            noted.add(name)
-            pairs.append(np.stack([np.full(size - 1, members[0]), members[1:]], 1))
-            chunks = [members[c : c + CHUNK].tobytes() for c in range(0, size, CHUNK)]
-            yield rows(1, len(chunks), a=pa.array([name[1]] * len(chunks), pa.int64()), b=pa.array([name[0]] * len(chunks), pa.int64()), members=pa.array(chunks, pa.binary()))
-        pairs = np.concatenate(pairs)
-        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-        keep = np.ones(len(pairs), bool)
-        keep[1:] = (pairs[1:] != pairs[:-1]).any(1)
-        pairs = pairs[keep]
-        for c in range(0, len(pairs), 100_000):
-            part = pairs[c : c + 100_000]
-            yield rows(0, len(part), a=pa.array(part[:, 0]), b=pa.array(part[:, 1]))
-
-    return entries.repartition(partitions(entries.sparkSession), "bucket").mapInArrow(run, MET)
+                yield _rows(schema, docs.num_rows, {"kind": np.full(docs.num_rows, 2, np.int32)} | {c: docs[c].combine_chunks() for c in DOC})
+            buckets, blobs = batch.column("bucket").to_pylist(), [batch.column(c) for c in KEY]
+            for k, bucket in enumerate(buckets):
+                if bucket != now:
+                    yield from settled()
+                    now = bucket
+                if blobs[0][k].is_valid:
+                    for (c, kind), blob in zip(KEY.items(), blobs):
+                        held[c].append(np.frombuffer(blob[k].as_py(), kind))
+        yield from settled()
+
+    n = partitions(entries.sparkSession)
+    return entries.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, MET)
+
+
+def _staged_in(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` staged with Arrow batches of so many rows, as its rows may be large."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = conf.get(name)
+    conf.set(name, str(rows))
+    try:
+        return staged(df)
+    finally:
+        conf.set(name, was)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int, most_ids: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) that link; ``nodes`` has a row of DOC for each id."""
+    """Those of ``pairs`` (a, b) of nodes that link; ``nodes`` has id, doc_id (of one of its rows), n_shingles, sketch."""
     for x in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")), x)
+        pairs = pairs.join(nodes.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")), x)
     pairs = pairs.filter((F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num))
 
     def near(batches):
@@ -275,19 +333,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, n
             keep = pa.array(np.flatnonzero(np.array(apart, np.int64) <= most))
             yield pa.record_batch([batch.column(k).take(keep) for k in (0, 1)], ["a", "b"])
 
-    pairs = staged(pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(near, "a long, b long"))
+    pairs = _staged_in(pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(near, "a long, b long"), 2000)
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    wanted = staged(wanted.join(nodes.select(F.col("doc_id").alias("id"), "n_shingles", "d0", "d1"), "id"))
+    wanted = staged(wanted.join(nodes.select("id", "doc_id"), "id"))
     large = wanted.count() > most_ids
-    some = wanted.select("id")
-    texts = docs.join(some if large else F.broadcast(some), docs["doc_id"] == some["id"], "left_semi").select("doc_id", "text")
+    some, names = wanted.select("doc_id").distinct(), wanted.select("id")
+    texts = docs.join(some if large else F.broadcast(some), "doc_id", "left_semi").select("doc_id", "text")
 
     def sets(batches):
         for batch in batches:
             for begin, end in tk.slices(batch.column(1), BATCH_BYTES):
-                rows = [(*digest(s), s.tobytes()) for s in shingle_sets(batch.column(1).slice(begin, end - begin), width)]
-                columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-                yield pa.record_batch([batch.column(0).slice(begin, end - begin), *columns], ["id", "n_shingles", "d0", "d1", "grams"])
+                found = list(shingle_sets(batch.column(1).slice(begin, end - begin), width))
+                yield pa.record_batch([pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "grams"])
 
     def compare(batches):
         for batch in batches:
@@ -302,12 +359,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, n
             keep = pa.array(np.flatnonzero(good))
             yield pa.record_batch([batch.column(k).take(keep) for k in (0, 1)], ["a", "b"])
 
-    # of rows that share an id, the one that stands for it
-    held = texts.mapInArrow(sets, "id long, n_shingles long, d0 long, d1 long, grams binary")
-    held = held.join(wanted if large else F.broadcast(wanted), ["id", "n_shingles", "d0", "d1"], "left_semi")
+    # of rows that share a doc_id, those that are wanted
+    held = texts.mapInArrow(sets, "id long, grams binary").join(names if large else F.broadcast(names), "id", "left_semi")
     out = pairs.join(held.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
     out = out.join(held.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
-    return staged(out.mapInArrow(compare, "a long, b long").distinct())
+    return staged(_staged_in(out.mapInArrow(compare, "a long, b long"), 500).distinct())
 
 
 def _unsettled(groups: DataFrame, roots: DataFrame) -> DataFrame:
@@ -352,7 +408,7 @@ def _across(each: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     parts = each.select("g", "size", "part").distinct()
     other = parts.select("g", "size", F.col("part").alias("with"))
     blocks = parts.join(other, ["g", "size"]).select("g", "size", "part", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"))
-    rows = each.join(nodes.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch"), "id")
+    rows = each.join(nodes.select("id", F.col("n_shingles").alias("n"), "sketch"), "id")
     rows = rows.join(blocks, ["g", "size", "part"]).select("g", "size", "lo", "hi", "part", "id", "root", "n", "sketch")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -381,36 +437,37 @@ def _across(each: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     return rows.groupBy("g", "size", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
 
 
-def jaccard_components(
+class Linked(NamedTuple):
+    """rows: doc_id, th, id, n_shingles of every row; nodes: one row an id; links: (a, b) of nodes."""
+
+    rows: DataFrame
+    nodes: DataFrame
+    links: DataFrame
+
+
+def linked_sets(
     docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, small: int = 4, sample: int = 12_000, most_ids: int = 1_000_000, pivot_rounds: int = 0
-) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+) -> Linked:
+    """Links that hold together whatever is linked: between any two linked texts there is a path.
 
     Ids of candidates are broadcast if they are ``most_ids`` at most, else joined by a shuffle.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("th"), "text")
     hot = _hot_table(docs, width, sample)
     met = staged(_meet(_emit(docs, width, num, den, hot, 4 * partitions(spark)), small))
-    rows = met.filter("kind = 2").select(*DOC)
-    solid = rows.filter("doc_id is not null and n_shingles > 0")
-    first = solid.groupBy("n_shingles", "d0", "d1").agg(F.min("doc_id").alias("rep"))
-    copies = solid.join(first, ["n_shingles", "d0", "d1"]).filter("doc_id > rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    copies = staged(copies.distinct())
-    reps = copies.groupBy("b").agg(F.min("a").alias("rep")).withColumnRenamed("b", "id")
-    nodes = solid.groupBy("doc_id").agg(F.min(F.struct(*DOC[1:])).alias("x")).select("doc_id", "x.*")
-
-    def represented(pairs: DataFrame) -> DataFrame:
-        for x in ("a", "b"):
-            pairs = pairs.join(reps.select(F.col("id").alias(x), "rep"), x, "left").withColumn(x, F.coalesce("rep", x)).drop("rep")
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
+    rows = met.filter("kind = 2").select("doc_id", "th", "id", "n_shingles")
+    solid = met.filter("kind = 2 and doc_id is not null and n_shingles > 0")
+    nodes = staged(solid.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return _verified(represented(pairs), docs, nodes, width, num, den, most_ids)
+        return _verified(pairs, docs, nodes, width, num, den, most_ids)
 
-    links = verified(met.filter("kind = 0").select("a", "b").distinct()).unionByName(copies)
-    roots = components(links)
-    each = _unsettled(met.filter("kind = 1"), roots)
+    links = verified(met.filter("kind = 0").select("a", "b").distinct())
+    groups = met.filter("kind = 1")
+    if groups.isEmpty():
+        return Linked(rows, nodes, links)
+    each = _unsettled(groups, components(links))
     for _ in range(pivot_rounds):
         if each.isEmpty():
             break
@@ -418,16 +475,46 @@ def jaccard_components(
         if more.isEmpty():
             break
         links = links.unionByName(more)
-        roots = components(links)
-        each = _still(each.drop("root"), roots)
+        each = _still(each.drop("root"), components(links))
     if not each.isEmpty():
         links = links.unionByName(verified(_across(each, nodes, num, den)))
-        roots = components(links)
+    return Linked(rows, nodes, links)
+
+
+def jaccard_components(docs: DataFrame, **options) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id. Options: those of ``linked_sets``."""
+    rows, nodes, links = linked_sets(docs, **options)
+    first = nodes.select("id", F.col("doc_id").alias("rep"))
+    for x in ("a", "b"):
+        links = links.join(first.withColumnRenamed("id", x), x).drop(x).withColumnRenamed("rep", x)
+    copies = rows.filter("doc_id is not null and n_shingles > 0").join(first, "id").filter("doc_id > rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    roots = components(links.unionByName(copies))
     out = rows.select("doc_id", "n_shingles").join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each component: the one of its smallest id (and rows of null id)."""
-    gone = jaccard_components(docs, **options).filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
+    """``docs`` with one row of each group of linked texts: that of the smallest doc_id (then of the smallest xxhash64 of its text).
+
+    A text is judged by itself: rows that share a doc_id with different texts go or
+    stay each for its own links. Of rows that are equal in doc_id and text one stays.
+    Rows of null doc_id, and texts without a word, are linked with nothing and stay.
+    """
+    rows, _, links = linked_sets(docs, **options)
+    solid = rows.filter("doc_id is not null and n_shingles > 0")
+    rooted = solid.join(components(links), "id", "left").select("doc_id", "th", F.coalesce("component", "id").alias("root"))
+    groups = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.count("*").alias("n"))
+    gone = rooted.join(groups.filter("n > 1"), "root").filter("struct(doc_id, th) != first")
+    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct()
+    twice = solid.groupBy("doc_id", "th").count().filter("count > 1").select(F.col("doc_id").alias("_twice_id"), F.col("th").alias("_twice_th"))
+    gone, twice = staged(gone), staged(twice)
+    same = lambda x: (docs["doc_id"].cast("long") == x[x.columns[0]]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == x[x.columns[1]])
+    out = docs.join(gone, same(gone), "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
+    if twice.isEmpty():
+        return out
+    key = F.struct(out["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("th"))
+    marked = out.select(key.alias("key"), F.struct(*[out[f"`{c}`"] for c in out.columns]).alias("row"))
+    on = (F.col("key.doc_id") == twice["_twice_id"]) & (F.col("key.th") == twice["_twice_th"])
+    once = marked.join(twice, on, "left_anti").select("row")
+    one = marked.join(twice, on, "left_semi").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    return once.unionByName(one).select("row.*")
