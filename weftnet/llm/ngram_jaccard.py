@@ -26,8 +26,8 @@ are grouped by tiers of sizes, each with the tier below, as sets of other sizes
 can't link. In a group of at most ``small`` sets all pairs are candidates; in a
 larger one each set is a candidate with the smallest, and the members are noted.
 With each key comes the next smaller key of its set: where two sets agree on that,
-too, they meet there as well, so a pair is made only where a run of shared keys
-begins. Of a candidate pair first the bit sketches are compared: the parity of
+too, they meet there as well, so in small groups a pair is made only where a run of
+shared keys begins. Of a candidate pair first the bit sketches are compared: the parity of
 the hashes that fall on each of 2n to 4n bits. Where their Hamming distance is
 above D the pair can't link; the others are verified on their whole sets. Where a
 noted group has members in several components after that, they are compared by
@@ -166,6 +166,7 @@ ROWS = "bucket int, keys binary, before binary, ids binary, tiers binary, doc_id
 DOC = ("doc_id", "th", "id", "n_shingles", "sketch")
 KEY = {"keys": np.uint64, "before": np.uint64, "ids": np.int64, "tiers": np.uint8}
 FLUSH = 1_000_000  # keys
+MADE = 1_000_000  # pairs held to drop repeats
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -249,16 +250,21 @@ def _groups(keys: np.ndarray, before: np.ndarray, ids: np.ndarray, tiers: np.nda
         at = starts[sizes == size]
         for x, y in combinations(range(size), 2):
             low.append(at + x), high.append(at + y)
+    low, high = np.concatenate(low), np.concatenate(high)
+    new = (before[low] != before[high]) | (before[low] == 0)
+    low, high = [low[new]], [high[new]]
     large = np.flatnonzero(sizes > small)
     for at, size in zip(starts[large].tolist(), sizes[large].tolist()):
         low.append(np.full(size - 1, at)), high.append(np.arange(at + 1, at + size))
-    low, high = np.concatenate(low), np.concatenate(high)
-    new = (before[low] != before[high]) | (before[low] == 0)
-    pairs = np.stack([ids[low[new]], ids[high[new]]], 1)
+    pairs = np.stack([ids[np.concatenate(low)], ids[np.concatenate(high)]], 1)
+    return _distinct(pairs), [ids[at : at + size].copy() for at, size in zip(starts[large], sizes[large])]
+
+
+def _distinct(pairs: np.ndarray) -> np.ndarray:
     pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
     keep = np.ones(len(pairs), bool)
     keep[1:] = (pairs[1:] != pairs[:-1]).any(1)
-    return pairs[keep], [ids[at : at + size].copy() for at, size in zip(starts[large], sizes[large])]
+    return pairs[keep]
 
 
 def _meet(entries: DataFrame, small: int) -> DataFrame:
@@ -269,7 +275,14 @@ def _meet(entries: DataFrame, small: int) -> DataFrame:
 
     def run(batches):
         schema = _schema(MET)
-        noted, held, now = set(), {c: [] for c in KEY}, None
+        noted, held, now, met = set(), {c: [] for c in KEY}, None, []
+
+        def made():
+            pairs = _distinct(np.concatenate(met)) if met else np.zeros((0, 2), np.int64)
+            met.clear()
+            for c in range(0, len(pairs), 50_000):
+                part = pairs[c : c + 50_000]
+                yield _rows(schema, len(part), {"kind": np.zeros(len(part), np.int32), "a": part[:, 0], "b": part[:, 1]})
 
         def settled():
             if not held["keys"]:
@@ -277,9 +290,9 @@ def _meet(entries: DataFrame, small: int) -> DataFrame:
             pairs, groups = _groups(*[np.concatenate(held[c]) for c in KEY], small)
             for c in KEY:
                 held[c].clear()
-            for c in range(0, len(pairs), 50_000):
-                part = pairs[c : c + 50_000]
-                yield _rows(schema, len(part), {"kind": np.zeros(len(part), np.int32), "a": part[:, 0], "b": part[:, 1]})
+            met.append(pairs)
+            if sum(map(len, met)) > MADE:
+                yield from made()
             for members in groups:
                 name = (len(members), int(tk.mix(members.view(np.uint64)).sum(dtype=np.uint64).view(np.int64)))
                 if name in noted:
@@ -304,6 +317,7 @@ def _meet(entries: DataFrame, small: int) -> DataFrame:
                     for (c, kind), blob in zip(KEY.items(), blobs):
                         held[c].append(np.frombuffer(blob[k].as_py(), kind))
         yield from settled()
+        yield from made()
 
     n = partitions(entries.sparkSession)
     return entries.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, MET)
