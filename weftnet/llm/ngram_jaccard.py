@@ -24,7 +24,8 @@ nodes of their own.
 Join. Keys are dealt to buckets, which tasks take one after the other. A key's sets
 are grouped by tiers of sizes, each with the tier below, as sets of other sizes
 can't link. In a group of at most ``small`` sets all pairs are candidates; in a
-larger one each set is a candidate with the smallest, and the members are noted.
+larger one each set is a candidate with that of the smallest doc_id, and the
+members are noted.
 With each key comes the next smaller key of its set: where two sets agree on that,
 too, they meet there as well, so in small groups a pair is made only where a run of
 shared keys begins. Of a candidate pair first the bit sketches are compared: the parity of
@@ -162,9 +163,9 @@ def _hot_table(docs: DataFrame, width: int, sample: int) -> np.ndarray:
     return np.packbits(hot)
 
 
-ROWS = "bucket int, keys binary, before binary, ids binary, tiers binary, doc_id long, th long, id long, n_shingles long, sketch binary"
+ROWS = "bucket int, keys binary, before binary, ids binary, docs binary, tiers binary, doc_id long, th long, id long, n_shingles long, sketch binary"
 DOC = ("doc_id", "th", "id", "n_shingles", "sketch")
-KEY = {"keys": np.uint64, "before": np.uint64, "ids": np.int64, "tiers": np.uint8}
+KEY = {"keys": np.uint64, "before": np.uint64, "ids": np.int64, "docs": np.int64, "tiers": np.uint8}
 FLUSH = 1_000_000  # keys
 MADE = 1_000_000  # pairs held to drop repeats
 
@@ -200,9 +201,9 @@ def _emit(docs: DataFrame, width: int, num: int, den: int, hot: np.ndarray, buck
             k = np.concatenate(keys)
             before = np.concatenate([[0], k[:-1]]).astype(np.uint64)
             before[np.cumsum(many) - many] = 0  # a set's smallest key has none before it
-            ids = np.repeat(np.array([x for x, _ in names], np.int64), many)
-            tiers = np.repeat(np.array([x for _, x in names], np.uint8), many)
-            parts = list(tk.packed((k % np.uint64(buckets)).astype(np.int64), [k, before, ids, tiers], buckets))
+            ids, of = (np.repeat(np.array([x[j] for x in names], np.int64), many) for j in (0, 1))
+            tiers = np.repeat(np.array([x[2] for x in names], np.uint8), many)
+            parts = list(tk.packed((k % np.uint64(buckets)).astype(np.int64), [k, before, ids, of, tiers], buckets))
             yield _rows(schema, len(parts), {"bucket": [g for g, _ in parts]} | {c: [x[j] for _, x in parts] for j, c in enumerate(KEY)})
             keys.clear(), names.clear(), seen.clear()
 
@@ -217,7 +218,7 @@ def _emit(docs: DataFrame, width: int, num: int, den: int, hot: np.ndarray, buck
                 apart, band = most_apart(n, num, den), band_of(n)
                 for b in range(band, band_of(n * den // num) + 1):
                     k = np.sort(join_keys(s, b, apart, table))
-                    keys.append(k), names.append((name, size_tier(n, num, den)))
+                    keys.append(k), names.append((name, doc, size_tier(n, num, den)))
                     held += len(k)
                 if held >= FLUSH:
                     yield from flush()
@@ -233,15 +234,17 @@ def _emit(docs: DataFrame, width: int, num: int, den: int, hot: np.ndarray, buck
 MET = "kind int, a long, b long, doc_id long, th long, id long, n_shingles long, sketch binary, members binary"
 
 
-def _groups(keys: np.ndarray, before: np.ndarray, ids: np.ndarray, tiers: np.ndarray, small: int):
+def _groups(keys: np.ndarray, before: np.ndarray, ids: np.ndarray, docs: np.ndarray, tiers: np.ndarray, small: int):
     """Candidate pairs (a < b) of a bucket, and the members of its larger groups."""
     keys, rows = tiered(keys, np.arange(len(ids)), tiers)
-    ids, before = ids[rows], before[rows]
-    order = np.lexsort((ids, keys))
-    keys, ids, before = keys[order], ids[order], before[order]
+    ids, before, docs = ids[rows], before[rows], docs[rows]
+    order = np.lexsort((docs, ids, keys))
     fresh = np.ones(len(keys), bool)
-    fresh[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-    keys, ids, before = keys[fresh], ids[fresh], before[fresh]
+    fresh[1:] = (keys[order][1:] != keys[order][:-1]) | (ids[order][1:] != ids[order][:-1])
+    order = order[fresh]
+    # by doc_id: copies mostly come after what they were made from, which is the nearest to all of them
+    order = order[np.lexsort((ids[order], docs[order], keys[order]))]
+    keys, ids, before = keys[order], ids[order], before[order]
     starts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
     sizes = np.diff(starts, append=len(keys))
     # places of the two of each pair
@@ -257,7 +260,7 @@ def _groups(keys: np.ndarray, before: np.ndarray, ids: np.ndarray, tiers: np.nda
     for at, size in zip(starts[large].tolist(), sizes[large].tolist()):
         low.append(np.full(size - 1, at)), high.append(np.arange(at + 1, at + size))
     pairs = np.stack([ids[np.concatenate(low)], ids[np.concatenate(high)]], 1)
-    return _distinct(pairs), [ids[at : at + size].copy() for at, size in zip(starts[large], sizes[large])]
+    return _distinct(np.sort(pairs, axis=1)), [np.sort(ids[at : at + size]) for at, size in zip(starts[large], sizes[large])]
 
 
 def _distinct(pairs: np.ndarray) -> np.ndarray:
