@@ -336,3 +336,16 @@ def test_texts_that_share_an_id_have_links_of_their_own(spark):
     assert sorted(r.n_shingles for r in kept.collect()) == [1, 2, 5, 6, 7]
     twice = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (2, "q", "z")], "doc_id long, text string, _twice_id string")
     assert sorted((r.doc_id, r.text) for r in ngram_jaccard.kept_documents(twice).collect()) == [(1, "a b c d e f"), (2, "q")]
+
+
+def test_many_languages_short_texts_and_clashing_names(spark):
+    langs = [f"l{k:03}" for k in range(130)]
+    grams = [language_id.ngrams(pa.array([f"speak{k:03}word tongue{'abcdefghij'[k % 10] * 6}{chr(97 + k // 10) * 6}"]))[0] for k in range(130)]
+    f = language_id.Filters(langs, [np.unique(g) for g in grams], 1 << 14, usual=5)
+    found = f.predict(pa.array([f"tongue{'abcdefghij'[k % 10] * 6}{chr(97 + k // 10) * 6}" for k in range(130)]))[0]
+    assert sum(a == b for a, b in zip(found, langs)) >= 120 and found[129] == langs[129]
+    assert f.predict(pa.array(["A", "qqqq wwww vvvv", None, "12"]))[0] == ["l005", "l005", "und", "und"]
+    rows = [(i, "the song of the old men and the sea " * 3, "en", i) for i in range(30)] + [(31, "De.", None, 31), (32, None, "en", 32), (33, "", None, 33)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, score long")
+    kept = language_id.accepted_documents(frame)
+    assert kept.columns == frame.columns and sorted(r.score for r in kept.collect()) == [*range(30), 31]

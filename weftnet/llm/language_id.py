@@ -19,9 +19,10 @@ hash of doc_id is a multiple of rows // sample), whole texts, and at most
 ``most`` n-grams a language, the most frequent. The table is as large for any
 corpus.
 
-A text that is null or has no letter is ``und`` with score 0, as is one whose
-corrected counts are all 0 or less. Equal texts get equal results. Without
-labelled rows every text is ``und``.
+A text that is null or has no letter is ``und`` with score 0. One with letters
+whose corrected counts are all 0 or less gets the language with the most n-grams
+in training, with score 0. Equal texts get equal results. Without labelled rows
+every text is ``und``. Any number of languages will do: each 64 have a table.
 """
 
 from __future__ import annotations
@@ -79,37 +80,43 @@ def has_letter(text: str) -> bool:
 
 
 class Filters:
-    """The languages' bit-sliced filters; at most 64 languages."""
-
-    def __init__(self, langs: list[str], grams: list[np.ndarray], slots: int):
-        if len(langs) > 64:
-            raise ValueError("at most 64 languages")
-        self.langs = langs
-        kind = next(k for k, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(langs) <= n)
-        self.table = np.zeros(slots, kind)
-        for l, g in enumerate(grams):
-            for at in _slots(g, slots):
-                self.table[at] |= kind(1 << l)
-        filled = np.array([(self.table >> kind(l) & kind(1)).mean() for l in range(len(langs))])
-        self.mistaken = filled**2
-
-    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """The languages' bit-sliced filters, a table for each 64; ``usual``: the language where none is found."""
+
+    def __init__(self, langs: list[str], grams: list[np.ndarray], slots: int, usual: int = 0):
+        self.langs, self.slots, self.usual = langs, slots, usual
+        self.tables, mistaken = [], []
+        for first in range(0, len(langs), 64):
+            some = grams[first : first + 64]
+            kind = next(k for k, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(some) <= n)
+            table = np.zeros(slots, kind)
+            for l, g in enumerate(some):
+                for at in _slots(g, slots):
+                    table[at] |= kind(1 << l)
+            mistaken += [(table >> kind(l) & kind(1)).mean() ** 2 for l in range(len(some))]
+            self.tables.append(table)
+        self.mistaken = np.array(mistaken)
+
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, scores, numbers of n-grams."""
         grams, begins = ngrams(texts)
         n = np.diff(begins)
-        a, b = _slots(grams, len(self.table))
-        masks = self.table[a] & self.table[b]
+        if not len(self.langs):
+            return ["und"] * len(n), np.zeros(len(n)), n
+        a, b = _slots(grams, self.slots)
         counts = np.zeros((len(self.langs), len(n)))
         for l in range(len(self.langs)):
-            hits = np.concatenate([[0], np.cumsum(masks >> masks.dtype.type(l) & masks.dtype.type(1), dtype=np.int64)])
+            table = self.tables[l // 64]
+            if l % 64 == 0:
+                masks = table[a] & table[b]
+            hits = np.concatenate([[0], np.cumsum(masks >> table.dtype.type(l % 64) & table.dtype.type(1), dtype=np.int64)])
             counts[l] = hits[begins[1:]] - hits[begins[:-1]]
             counts[l] = (counts[l] - n * self.mistaken[l]) / max(1 - self.mistaken[l], 1e-9)
-        if not len(self.langs):
-            return ["und"] * len(n), np.zeros(len(n))
         best = counts.argmax(0)
         top = counts[best, np.arange(len(n))]
+        best[top <= 0] = self.usual
         score = np.clip(top / np.maximum(n, 1), 0, 1)
-        named = [self.langs[k] if s > 0 and t is not None and has_letter(t) else "und" for k, s, t in zip(best, score, texts.to_pylist())]
-        return named, np.where([x == "und" for x in named], 0.0, score)
+        named = [self.langs[k] if t is not None and has_letter(t) else "und" for k, t in zip(best, texts.to_pylist())]
+        return named, np.where([x == "und" for x in named], 0.0, score), n
 
 
 def learn(rows: DataFrame, sample: int = 20_000, most: int = 100_000, share: float = 3e-6, contrast: float = 0.2, slots: int = 1 << 22) -> Filters:
@@ -134,23 +141,30 @@ def learn(rows: DataFrame, sample: int = 20_000, most: int = 100_000, share: flo
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     own = own.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).select("lang", "gram").toPandas()
     langs = sorted(own["lang"].unique())
-    return Filters(langs, [own["gram"][own["lang"] == x].to_numpy().astype(np.uint64) for x in langs], slots)
+    many = {r["lang"]: r["total"] for r in total.collect()}  # a row a language
+    usual = max(range(len(langs)), key=lambda k: (many[langs[k]], -k), default=0)
+    return Filters(langs, [own["gram"][own["lang"] == x].to_numpy().astype(np.uint64) for x in langs], slots, usual)
 
 
-def predict(docs: DataFrame, filters: Filters) -> DataFrame:
-    """``docs`` with lang_pred and score after its columns (which must not have these names)."""
+def _judged(docs: DataFrame, filters: Filters) -> DataFrame:
+    """row (struct of the columns of ``docs``), lang_pred, score, n_grams."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("t"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("text").alias("t"))
 
     def run(batches):
         for batch in batches:
             for begin, end in tk.slices(batch.column(1), BATCH_BYTES):
-                langs, score = shared.value.predict(batch.column(1).slice(begin, end - begin))
-                yield pa.record_batch([batch.column(0).slice(begin, end - begin), pa.array(langs, pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
+                langs, score, n = shared.value.predict(batch.column(1).slice(begin, end - begin))
+                columns = [batch.column(0).slice(begin, end - begin), pa.array(langs, pa.string()), pa.array(score), pa.array(n, pa.int64())]
+                yield pa.record_batch(columns, ["row", "lang_pred", "score", "n_grams"])
 
-    kept = ", ".join(f"`{n}`: {t}" for n, t in docs.dtypes)
-    out = rows.mapInArrow(run, f"row struct<{kept}>, lang_pred string, score double")
-    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], "lang_pred", "score")
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, n_grams long")
+
+
+def predict(docs: DataFrame, filters: Filters) -> DataFrame:
+    """``docs`` with lang_pred and score after its columns; columns of these names are replaced."""
+    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return _judged(docs, filters).select(*[F.col("row").getField(c).alias(c) for c in own], "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -164,6 +178,10 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 
 
 def accepted_documents(docs: DataFrame, least: float = 0.2, **options) -> DataFrame:
-    """``docs`` without those that are ``und`` or of whose n-grams less than ``least`` belong to the language found."""
+    """``docs`` without those that are ``und`` or of whose n-grams less than ``least`` belong to the language found.
+
+    A text with letters that is too short for an n-gram stays.
+    """
     filters = learn(docs.filter(~held_out()), **options)
-    return predict(docs, filters).filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    fits = (F.col("lang_pred") != "und") & ((F.col("score") >= least) | (F.col("n_grams") == 0))
+    return _judged(docs, filters).filter(fits).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
