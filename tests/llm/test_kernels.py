@@ -349,3 +349,28 @@ def test_many_languages_short_texts_and_clashing_names(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, score long")
     kept = language_id.accepted_documents(frame)
     assert kept.columns == frame.columns and sorted(r.score for r in kept.collect()) == [*range(30), 31]
+
+
+def test_groups_are_compared_across_parts(spark):
+    """Every pair of members in different components that sketches and sizes allow, whatever parts they are in, once."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 150, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(150) < p], rng.integers(0, 2**63, 10, dtype=np.uint64)])) for p in rng.choice([0.6, 0.85, 0.95], 40)]
+    sketches, apart = [ngram_jaccard.bit_sketch(s) for s in sets], lambda m, n: 25 * (m + n) // 175
+    roots = [k % 7 for k in range(len(sets))]
+    nodes = spark.createDataFrame([(k, len(s), bytearray(x)) for k, (s, x) in enumerate(zip(sets, sketches))], "id long, n_shingles long, sketch binary")
+    each = spark.createDataFrame([(1, 40, k // 9, k, roots[k]) for k in range(len(sets))], "g long, size long, part long, id long, root long")
+    got = sorted((r.a, r.b) for r in ngram_jaccard._across(each, nodes, 75, 100).collect())
+    want = [
+        (a, b) for a in range(40) for b in range(a + 1, 40)
+        if roots[a] != roots[b] and 4 * min(len(sets[a]), len(sets[b])) >= 3 * max(len(sets[a]), len(sets[b]))
+        and ngram_jaccard.sketch_distance(sketches[a], sketches[b]) <= apart(len(sets[a]), len(sets[b]))
+    ]
+    assert got == want and 0 < len(want) < 780
+
+
+def test_parts_are_bounded_in_bytes():
+    for n in (1, 64, 300, 5000, 20_000, 10**6):
+        part = ngram_jaccard.part_of(ngram_jaccard.size_tier(n, 75, 100), 75, 100)
+        assert 16 <= part <= ngram_jaccard.PART
+        assert part == 16 or part * len(ngram_jaccard.bit_sketch(np.arange(n, dtype=np.uint64))) <= ngram_jaccard.PART_BYTES

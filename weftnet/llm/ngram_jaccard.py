@@ -64,7 +64,7 @@ BAND = 16  # sizes of a band grow by this factor
 FIRST = 64  # largest set of the first band
 HOT_BITS = 26
 BATCH_BYTES = 1 << 20
-CHUNK = 1024
+PART, PART_BYTES = 4096, 8 << 20  # members of a group that are compared with as many others at once, and bytes of their sketches
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -116,6 +116,14 @@ def size_tier(n: int, num: int, den: int) -> int:
     return int(math.log(n) / math.log(den / num) + 1e-9) if num < den else min(n, 255)
 
 
+def part_of(tier: int, num: int, den: int) -> int:
+    """Members a part of a group whose largest set has this tier: bounded in number and in bytes of sketches."""
+    if num == den:  # the tier doesn't bound the size
+        return PART // 4
+    largest = (den / num) ** (tier + 1)  # sketches have 4 bits a shingle at most
+    return max(16, int(min(PART, PART_BYTES / max(32, largest / 2))))
+
+
 def tiered(keys: np.ndarray, ids: np.ndarray, tiers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Groups of a key and a tier: its own documents, and those of the tier below."""
     named = lambda t: tk.mix(keys ^ tk.mix((t.astype(np.uint64) + np.uint64(1)) * np.uint64(tk.GOLDEN)))
@@ -235,16 +243,16 @@ MET = "kind int, a long, b long, doc_id long, th long, id long, n_shingles long,
 
 
 def _groups(keys: np.ndarray, before: np.ndarray, ids: np.ndarray, docs: np.ndarray, tiers: np.ndarray, small: int):
-    """Candidate pairs (a < b) of a bucket, and the members of its larger groups."""
+    """Candidate pairs (a < b) of a bucket, and (members, largest tier) of its larger groups."""
     keys, rows = tiered(keys, np.arange(len(ids)), tiers)
-    ids, before, docs = ids[rows], before[rows], docs[rows]
+    ids, before, docs, tiers = ids[rows], before[rows], docs[rows], tiers[rows]
     order = np.lexsort((docs, ids, keys))
     fresh = np.ones(len(keys), bool)
     fresh[1:] = (keys[order][1:] != keys[order][:-1]) | (ids[order][1:] != ids[order][:-1])
     order = order[fresh]
     # by doc_id: copies mostly come after what they were made from, which is the nearest to all of them
     order = order[np.lexsort((ids[order], docs[order], keys[order]))]
-    keys, ids, before = keys[order], ids[order], before[order]
+    keys, ids, before, tiers = keys[order], ids[order], before[order], tiers[order]
     starts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
     sizes = np.diff(starts, append=len(keys))
     # places of the two of each pair
@@ -260,7 +268,7 @@ def _groups(keys: np.ndarray, before: np.ndarray, ids: np.ndarray, docs: np.ndar
     for at, size in zip(starts[large].tolist(), sizes[large].tolist()):
         low.append(np.full(size - 1, at)), high.append(np.arange(at + 1, at + size))
     pairs = np.stack([ids[np.concatenate(low)], ids[np.concatenate(high)]], 1)
-    return _distinct(np.sort(pairs, axis=1)), [np.sort(ids[at : at + size]) for at, size in zip(starts[large], sizes[large])]
+    return _distinct(np.sort(pairs, axis=1)), [(np.sort(ids[at : at + size]), int(tiers[at : at + size].max())) for at, size in zip(starts[large], sizes[large])]
 
 
 def _distinct(pairs: np.ndarray) -> np.ndarray:
@@ -270,7 +278,7 @@ def _distinct(pairs: np.ndarray) -> np.ndarray:
     return pairs[keep]
 
 
-def _meet(entries: DataFrame, small: int) -> DataFrame:
+def _meet(entries: DataFrame, small: int, num: int, den: int) -> DataFrame:
     """kind 0: candidate pair a < b; 1: members of a large group, in chunks (a: the group, b: its size); 2: a document.
 
     Tasks get their buckets in order and hold one at a time.
@@ -296,13 +304,14 @@ def _meet(entries: DataFrame, small: int) -> DataFrame:
             met.append(pairs)
             if sum(map(len, met)) > MADE:
                 yield from made()
-            for members in groups:
+            for members, tier in groups:
                 name = (len(members), int(tk.mix(members.view(np.uint64)).sum(dtype=np.uint64).view(np.int64)))
                 if name in noted:
                     continue
                 if len(noted) < 1_000_000:  # else it may be noted again, which is undone later
                     noted.add(name)
-                chunks = [members[c : c + CHUNK].tobytes() for c in range(0, len(members), CHUNK)]
+                part = part_of(tier, num, den)
+                chunks = [members[c : c + part].tobytes() for c in range(0, len(members), part)]
                 n = len(chunks)
                 yield _rows(schema, n, {"kind": [1] * n, "a": [name[1]] * n, "b": [name[0]] * n, "members": chunks})
 
@@ -419,8 +428,9 @@ def _pivots(each: DataFrame) -> DataFrame:
 def _across(each: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of members of a group in different components whose sketches allow a link.
 
-    A group is compared part by part (a part has ``CHUNK`` members at most), so
-    no task holds more than two parts, and only pairs that pass are made.
+    A group is compared part by part (``part_of`` says how many members a part
+    has), so no task holds more than two parts, and only pairs that pass are made.
+    Each member is sent once for each part of its group.
     """
     parts = each.select("g", "size", "part").distinct()
     other = parts.select("g", "size", F.col("part").alias("with"))
@@ -472,7 +482,7 @@ def linked_sets(
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("th"), "text")
     hot = _hot_table(docs, width, sample)
-    met = staged(_meet(_emit(docs, width, num, den, hot, 4 * partitions(spark)), small))
+    met = staged(_meet(_emit(docs, width, num, den, hot, 4 * partitions(spark)), small, num, den))
     rows = met.filter("kind = 2").select("doc_id", "th", "id", "n_shingles")
     solid = met.filter("kind = 2 and doc_id is not null and n_shingles > 0")
     nodes = staged(solid.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch")))
