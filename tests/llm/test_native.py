@@ -181,3 +181,28 @@ def test_empty_tables(empty):
     assert line_dedup.line_dedup(empty).count() == 0
     assert simhash.document_fingerprints(empty).count() == 0
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
+
+
+def test_columns_of_clashing_names(docs, rows):
+    """Columns named like the operators' own change nothing and keep their values."""
+    import corpus_pipeline
+
+    extra = ["size", "taken", "n_lines", "n_removed", "_s", "_th", "_did", "id", "row", "a.b"]
+    many = docs.select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in extra])
+    own = lambda r: all(r[c] == f"{c}:{'none' if r.doc_id is None else r.doc_id}" for c in extra)
+    plain = lambda frame: Counter((r.doc_id, r.text, r.source) for r in frame.collect())
+    stages = [corpus_pipeline.lines, corpus_pipeline.mix, lambda _, d, __: exact_dedup.kept_documents(d)]
+    for stage in stages:
+        got = stage(None, many, "")
+        assert got.columns == many.columns and all(map(own, got.collect()))
+    for stage in stages[:2]:
+        assert plain(stage(None, many, "")) == plain(stage(None, docs, ""))
+    got = line_dedup.line_dedup(many)
+    assert got.columns == [c for c in many.columns if c not in ("n_lines", "n_removed")] + ["n_lines", "n_removed"]
+    assert {(low(r.doc_id), r.text, r.n_removed) for r in got.collect()} == {(low(r.doc_id), r.text, r.n_removed) for r in line_dedup.line_dedup(docs).collect()}
+
+
+def test_null_and_empty_texts_are_copies(spark):
+    frame = spark.createDataFrame([(1, None), (1, ""), (2, "x"), (2, "x"), (3, "x")], "doc_id long, text string")
+    got = exact_dedup.kept_documents(frame).collect()
+    assert len(got) == 2 and sorted((r.doc_id, r.text or "") for r in got) == [(1, ""), (3, "x")]

@@ -60,6 +60,16 @@ def with_row_key(docs: DataFrame) -> DataFrame:
     )
 
 
+def row_of(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one, so that none clashes with an operator's own."""
+    return F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns])
+
+
+def columns_of(docs: DataFrame, **instead: Column) -> list[Column]:
+    """The columns of ``docs`` from the struct ``row`` made by ``row_of``, some replaced."""
+    return [instead[c].alias(c) if c in instead else F.col("row").getField(c).alias(c) for c in docs.columns]
+
+
 def prefix_sums(df: DataFrame, group: list[str], order: list, sums: dict[str, Column]) -> DataFrame:
     """Add exclusive running sums within ``group`` in the order ``order``.
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftnet.llm.base import staged, text_or_empty
+from weftnet.llm.base import columns_of, row_of, staged, text_or_empty
 
 
 def heavy_digests(digests: DataFrame, tracked: int, max_heavy: int) -> DataFrame:
@@ -61,8 +61,9 @@ def exact_dedup(docs: DataFrame, tracked: int = 4096, max_heavy: int = 256) -> D
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_dedup` keeps, one per distinct text."""
-    kept = exact_dedup(docs, **options).filter("kept").select(F.col("doc_id").alias("_k"), F.col("text_sha256").alias("_s"))
-    same = F.sha2(text_or_empty().cast("binary"), 256) == F.col("_s")
-    out = docs.withColumn("_i", F.col("doc_id")).join(kept, F.col("_i").eqNullSafe(F.col("_k")) & same, "left_semi")
-    return out.dropDuplicates(["doc_id", "text"]).drop("_i")
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, one per distinct text (null counts as empty)."""
+    kept = exact_dedup(docs, **options).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    sha = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
+    marked = docs.select(docs["doc_id"].alias("id"), sha.alias("sha"), row_of(docs).alias("row"))
+    out = marked.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
+    return out.dropDuplicates(["id", "sha"]).select(*columns_of(docs))

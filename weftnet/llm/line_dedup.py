@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftnet.llm.base import NULL_ID, text_or_empty, with_row_key
+from weftnet.llm.base import NULL_ID, columns_of, row_of, with_row_key
 
 BLANKS = " \t\r\x0b\x0c"
 
@@ -116,17 +116,29 @@ def _cut(text: Column, starts: Column, min_run: int) -> Column:
     return F.when(text.isNull(), none).otherwise(_let(F.split(text, "\n"), of))
 
 
-def line_dedup(docs: DataFrame, min_run: int = 3, long_words: int | None = None) -> DataFrame:
-    """``docs`` with their text cut, and n_lines, n_removed (long) after its columns."""
+def _lines_cut(docs: DataFrame, min_run: int, long_words: int | None) -> DataFrame:
+    """(row, cut): each row of ``docs``, and struct(text, n_lines, n_removed)."""
     if min_run < 2:
         raise ValueError("min_run must be 2 at least")
     gone = repeated_windows(docs, min_run)
     if long_words is not None:
         runs = gone.select("_did", "_th", F.explode(F.sequence("start", F.col("start") + min_run - 1)).alias("start"))
         gone, min_run = runs.unionByName(repeated_lines(docs, long_words)), 1
-    gone = gone.groupBy("_did", "_th").agg(F.collect_set("start").alias("_starts"))
-    keyed = docs.withColumns(
-        {"_did": F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).cast("long"), "_th": F.xxhash64(text_or_empty())}
-    )
-    out = keyed.join(gone, ["_did", "_th"], "left").withColumn("_cut", _cut(F.col("text"), F.col("_starts"), min_run))
-    return out.select(*[F.col("_cut.text").alias("text") if c == "text" else F.col(c) for c in docs.columns], "_cut.n_lines", "_cut.n_removed")
+    gone = gone.groupBy("_did", "_th").agg(F.collect_set("start").alias("starts"))
+    text = F.coalesce(docs["text"], F.lit(""))
+    keyed = docs.select(F.coalesce(docs["doc_id"], F.lit(NULL_ID)).cast("long").alias("_did"), F.xxhash64(text).alias("_th"), row_of(docs).alias("row"))
+    return keyed.join(gone, ["_did", "_th"], "left").select("row", _cut(F.col("row.text"), F.col("starts"), min_run).alias("cut"))
+
+
+def line_dedup(docs: DataFrame, min_run: int = 3, long_words: int | None = None) -> DataFrame:
+    """``docs`` with their text cut, and n_lines, n_removed (long) after its columns, in place of its own of these names."""
+    out = _lines_cut(docs, min_run, long_words)
+    kept = [x for c, x in zip(docs.columns, columns_of(docs, text=F.col("cut.text"))) if c not in ("n_lines", "n_removed")]
+    return out.select(*kept, "cut.n_lines", "cut.n_removed")
+
+
+def kept_documents(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with their text cut, less the documents that lose all their lines; all columns keep their names and places."""
+    out = _lines_cut(docs, options.get("min_run", 3), options.get("long_words"))
+    emptied = (F.col("cut.n_removed") > 0) & (F.btrim("cut.text", F.lit(" \t\r\n")) == "")
+    return out.filter(~emptied).select(*columns_of(docs, text=F.col("cut.text")))

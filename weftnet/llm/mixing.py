@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftnet.llm.base import prefix_sums, staged, text_or_empty
+from weftnet.llm.base import columns_of, prefix_sums, row_of, staged, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -89,16 +89,18 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` repeated as the mix takes them; a copy taken in part has its first words, joined by spaces.
 
     Equal rows are told apart by number, so that none is taken more often than its rank says.
+    Further columns are kept, whatever their names.
     """
     number = F.row_number().over(Window.partitionBy("doc_id", "_th").orderBy("taken"))
-    plan = mix(docs, **options).withColumn("_no", number).select(F.col("doc_id").alias("_id"), "_th", "_no", "size", "taken")
-    keyed = docs.withColumn("_th", F.xxhash64(text_or_empty()))
-    keyed = keyed.withColumn("_no", F.row_number().over(Window.partitionBy("doc_id", "_th").orderBy(F.lit(0))))
-    same = keyed["doc_id"].eqNullSafe(plan["_id"]) & (keyed["_th"] == plan["_th"]) & (keyed["_no"] == plan["_no"])
-    out = keyed.join(plan.filter("taken > 0"), same)
-    left = F.transform(F.sequence(F.lit(0), F.expr("(taken - 1) div size")), lambda k: F.least(F.col("size"), F.col("taken") - k * F.col("size")))
-    out = out.withColumn("_take", F.explode(left))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    part = F.array_join(F.slice(words, F.lit(1), F.col("_take").cast("int")), " ")
-    text = F.when(F.col("_take") < F.col("size"), part).otherwise(F.col("text"))
-    return out.select(*[text.alias("text") if c == "text" else keyed[c] for c in docs.columns])
+    plan = mix(docs, **options).withColumn("_no", number).filter("taken > 0").select(F.struct(F.col("doc_id").alias("id"), F.col("_th").alias("th"), F.col("_no").alias("no"), "size", "taken").alias("plan"))
+    keyed = docs.select(docs["doc_id"].cast("long").alias("id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("th"), row_of(docs).alias("row"))
+    keyed = keyed.withColumn("no", F.row_number().over(Window.partitionBy("id", "th").orderBy(F.lit(0))))
+    same = F.col("id").eqNullSafe(F.col("plan.id")) & (F.col("th") == F.col("plan.th")) & (F.col("no") == F.col("plan.no"))
+    out = keyed.join(plan, same)
+    size, taken = F.col("plan.size"), F.col("plan.taken")
+    left = F.transform(F.sequence(F.lit(0), F.expr("(plan.taken - 1) div plan.size")), lambda k: F.least(size, taken - k * size))
+    out = out.withColumn("take", F.explode(left))
+    words = F.filter(F.split("row.text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    part = F.array_join(F.slice(words, F.lit(1), F.col("take").cast("int")), " ")
+    text = F.when(F.col("take") < size, part).otherwise(F.col("row.text"))
+    return out.select(*columns_of(docs, text=text))
