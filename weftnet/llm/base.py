@@ -8,9 +8,12 @@ rows therefore behave as one document and all get its result.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +63,26 @@ def with_row_key(docs: DataFrame) -> DataFrame:
     )
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system; Spark keeps idle Python workers, and they keep what they freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow``, giving memory back when a task ends."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def row_of(docs: DataFrame) -> Column:
     """All columns of ``docs`` as one, so that none clashes with an operator's own."""
     return F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns])

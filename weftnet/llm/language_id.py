@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftnet.llm import textkernel as tk
+from weftnet.llm.base import tidy
 
 N = 5
 BATCH_BYTES = 1 << 20
@@ -133,7 +134,7 @@ def learn(rows: DataFrame, sample: int = 20_000, most: int = 100_000, share: flo
                     grams, n = np.unique(ngrams(own.slice(begin, end - begin))[0], return_counts=True)
                     yield pa.record_batch([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    each = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    each = rows.mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     total = each.groupBy("lang").agg(F.sum("n").alias("total"))
     each = each.join(F.broadcast(total), "lang").withColumn("part", F.col("n") / F.col("total"))  # a row a language
     top = each.groupBy("gram").agg(F.max("part").alias("top"))
@@ -158,7 +159,7 @@ def _judged(docs: DataFrame, filters: Filters) -> DataFrame:
                 columns = [batch.column(0).slice(begin, end - begin), pa.array(langs, pa.string()), pa.array(score), pa.array(n, pa.int64())]
                 yield pa.record_batch(columns, ["row", "lang_pred", "score", "n_grams"])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, n_grams long")
+    return rows.mapInArrow(tidy(run), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, n_grams long")
 
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:

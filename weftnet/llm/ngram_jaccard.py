@@ -57,7 +57,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftnet.llm import textkernel as tk
-from weftnet.llm.base import partitions, staged, text_or_empty
+from weftnet.llm.base import partitions, staged, text_or_empty, tidy
 from weftnet.llm.components import components
 
 BAND = 16  # sizes of a band grow by this factor
@@ -165,7 +165,7 @@ def _hot_table(docs: DataFrame, width: int, sample: int) -> np.ndarray:
             for s in shingle_sets(batch.column(0), width):
                 yield pa.record_batch([pa.array((s >> np.uint64(64 - HOT_BITS)).astype(np.int32))], ["p"])
 
-    often = some.mapInArrow(prefixes, "p int").groupBy("p").count().filter("count >= 4").select("p")
+    often = some.mapInArrow(tidy(prefixes), "p int").groupBy("p").count().filter("count >= 4").select("p")
     hot = np.zeros(1 << HOT_BITS, bool)
     hot[often.toPandas()["p"].to_numpy()] = True  # a fourth of the sample's shingles at most
     return np.packbits(hot)
@@ -236,7 +236,7 @@ def _emit(docs: DataFrame, width: int, num: int, den: int, hot: np.ndarray, buck
                 yield _rows(schema, len(part), {"bucket": [(r[0] or 0) % buckets for r in part]} | {name: [r[j] for r in part] for j, name in enumerate(DOC)})
         yield from flush()
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, ROWS)
+    return docs.select("doc_id", "th", "text").mapInArrow(tidy(run), ROWS)
 
 
 MET = "kind int, a long, b long, doc_id long, th long, id long, n_shingles long, sketch binary, members binary"
@@ -332,7 +332,7 @@ def _meet(entries: DataFrame, small: int, num: int, den: int) -> DataFrame:
         yield from made()
 
     n = partitions(entries.sparkSession)
-    return entries.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, MET)
+    return entries.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), MET)
 
 
 def _staged_in(df: DataFrame, rows: int) -> DataFrame:
@@ -359,7 +359,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, n
             keep = pa.array(np.flatnonzero(np.array(apart, np.int64) <= most))
             yield pa.record_batch([batch.column(k).take(keep) for k in (0, 1)], ["a", "b"])
 
-    pairs = _staged_in(pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(near, "a long, b long"), 2000)
+    pairs = _staged_in(pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(tidy(near), "a long, b long"), 2000)
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     wanted = staged(wanted.join(nodes.select("id", "doc_id"), "id"))
     large = wanted.count() > most_ids
@@ -386,10 +386,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, n
             yield pa.record_batch([batch.column(k).take(keep) for k in (0, 1)], ["a", "b"])
 
     # of rows that share a doc_id, those that are wanted
-    held = texts.mapInArrow(sets, "id long, grams binary").join(names if large else F.broadcast(names), "id", "left_semi")
+    held = texts.mapInArrow(tidy(sets), "id long, grams binary").join(names if large else F.broadcast(names), "id", "left_semi")
     out = pairs.join(held.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
     out = out.join(held.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
-    return staged(_staged_in(out.mapInArrow(compare, "a long, b long"), 500).distinct())
+    return staged(_staged_in(out.mapInArrow(tidy(compare), "a long, b long"), 500).distinct())
 
 
 def _unsettled(groups: DataFrame, roots: DataFrame) -> DataFrame:
@@ -403,7 +403,7 @@ def _unsettled(groups: DataFrame, roots: DataFrame) -> DataFrame:
                 part = np.full(len(ids), int(tk.mix(ids[:1].view(np.uint64))[0] >> np.uint64(1)))
                 yield pa.record_batch([pa.array(np.full(len(ids), g)), pa.array(np.full(len(ids), size)), pa.array(part), pa.array(ids)], ["g", "size", "part", "id"])
 
-    each = groups.select("a", "b", "members").distinct().mapInArrow(members, "g long, size long, part long, id long")
+    each = groups.select("a", "b", "members").distinct().mapInArrow(tidy(members), "g long, size long, part long, id long")
     return _still(each, roots)
 
 

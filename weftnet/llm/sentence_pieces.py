@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftnet.llm import textkernel as tk
-from weftnet.llm.base import partitions, staged, text_or_empty
+from weftnet.llm.base import partitions, staged, text_or_empty, tidy
 
 MARK = "▁"
 MASK = 60  # places in a long
@@ -434,7 +434,7 @@ def repeated(docs: DataFrame) -> DataFrame:
             often = n > 1
             yield pa.record_batch([pa.array(c.texts(at[often]), pa.string()), pa.array(n[often], pa.int64())], ["chunk", "n"])
 
-    each = docs.select(text_or_empty().alias("text")).mapInArrow(run, "chunk string, n long")
+    each = docs.select(text_or_empty().alias("text")).mapInArrow(tidy(run), "chunk string, n long")
     return each.groupBy("chunk").agg(F.sum("n").alias("n"))
 
 
@@ -472,7 +472,7 @@ def known_chunks(chosen: DataFrame, lattices, kind: str) -> Known:
                 order = np.argsort(place)
                 yield pa.record_batch([_one_list(pa.array([some[k] for k in order], pa.string())), *columns], ["chunk", *SCHEMAS[kind]])
 
-    rows = chosen.repartition(partitions(chosen.sparkSession)).mapInArrow(run, ", ".join(["chunk array<string>", *[f"{k} {v}" for k, v in SCHEMAS[kind].items()]]))
+    rows = chosen.repartition(partitions(chosen.sparkSession)).mapInArrow(tidy(run), ", ".join(["chunk array<string>", *[f"{k} {v}" for k, v in SCHEMAS[kind].items()]]))
     rows = rows.select(F.explode(F.arrays_zip("chunk", _folded(kind).alias("ids"))).alias("x")).select("x.*").toArrow()
     # as in a text: marks are spaces there
     words = pc.replace_substring(rows.column("chunk").combine_chunks(), MARK, " ") if rows.num_rows else pa.array([], pa.string())
@@ -522,7 +522,7 @@ def _encoded(docs: DataFrame, columns: list[str], pieces: Pieces, frequent: int)
     kept = docs.select(row.alias("_row"), text_or_empty().alias("_text"))
     shape = kept.schema["_row"].dataType.simpleString()
     fields = [f"docs array<struct<row: {shape}, runs: array<struct<ids: array<int>, hole: int>>>>", *[f"{k} {v}" for k, v in SCHEMAS[kind].items()]]
-    coded = kept.mapInArrow(run, ", ".join(fields))
+    coded = kept.mapInArrow(tidy(run), ", ".join(fields))
 
     def filled(found: Column) -> Column:
         part = lambda r: F.when(r["hole"] < 0, r["ids"]).otherwise(F.concat(r["ids"], F.get(found, r["hole"])))
@@ -611,7 +611,7 @@ def with_round_trip(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", "text", F.xxhash64(text_or_empty()).alias("_th"))
-    return _encoded(keyed, ["doc_id", "_th"], pieces, frequent).mapInArrow(run, f"doc_id {kind}, piece_ids array<int>, round_trip boolean")
+    return _encoded(keyed, ["doc_id", "_th"], pieces, frequent).mapInArrow(tidy(run), f"doc_id {kind}, piece_ids array<int>, round_trip boolean")
 
 
 def encoded_documents(docs: DataFrame, pieces: Pieces) -> DataFrame:
