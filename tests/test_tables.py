@@ -111,6 +111,29 @@ def test_nearest_edge_looks_as_far_as_needed(spark):
     assert len(rows) == 40 and all(abs(x.dist - want[x.poi][0]) < 1e-9 and x.edge_id == want[x.poi][1] for x in rows)
 
 
+def test_nearest_edge_of_clusters_copies_and_flat_edges(spark):
+    import random
+
+    r = random.Random(7)
+    edges = [(i, *(r.gauss(0, 90) for _ in range(4))) for i in range(200)]
+    edges += [(200 + i, 5.0 * i, -200.0, 5.0 * i + 1e-13 * (i % 2), 200.0) for i in range(20)]  # upright, or nearly
+    edges += [(300 + i, float(i), float(i), float(i), float(i)) for i in range(10)] + [(400 + e[0], *e[1:]) for e in edges[:50]]
+    points = [(i, r.gauss(0, 1), r.gauss(0, 1)) for i in range(300)] + [(300 + i, r.gauss(300, 100), r.gauss(0, 100)) for i in range(100)]
+    points += [(400 + i, *points[i % 3][1:]) for i in range(100)]
+    odd = [(900, None, 1.0), (901, float("nan"), 1.0)]
+    kinds = "poi long, x double, y double", "edge_id long, ux double, uy double, vx double, vy double"
+    lost = [(901, None, 1.0, 2.0, 2.0), (902, float("nan"), 1.0, 2.0, 2.0)]
+    got = coupling.nearest_edge(spark.createDataFrame(points + odd, kinds[0]), spark.createDataFrame(edges + lost, kinds[1])).collect()
+    want = brute_nearest(points, edges)
+    assert sorted(g.poi for g in got) == list(range(500))
+    assert all(abs(g.dist - want[g.poi][0]) < 1e-9 and g.edge_id == want[g.poi][1] for g in got)
+
+
+def test_long_edges_go_only_to_tiles_they_cross(spark):
+    edge = spark.createDataFrame([(0, 0.5, 0.5, 99.5, 98.5)], "edge_id long, ux double, uy double, vx double, vy double")
+    assert coupling._tiles_of_edges(edge, 1.0, 1e-6).count() < 300  # of 10,000 in its rectangle
+
+
 @pytest.fixture()
 def one_street(spark):
     edges = spark.createDataFrame([(0, 0, 1, 0.0, 0.0, 100.0, 0.0, 120.0)], "edge_id long, u long, v long, ux double, uy double, vx double, vy double, len_m double")
