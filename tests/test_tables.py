@@ -151,6 +151,13 @@ def test_split_keeps_the_length_and_snaps(spark, one_street):
     assert min(r.len_m for r in rows if r.kind == "drop") == 0.1
 
 
+def test_streets_are_cut_many_a_batch(spark, one_street):
+    edges, near = one_street
+    for pieces in (coupling.split_streets(near, edges), coupling.split_sides(near, edges, cross=15.0)):
+        plan = pieces._jdf.queryExecution().toString()
+        assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
+
+
 def test_sides(spark, one_street):
     edges, near = one_street
     rows = coupling.split_sides(near, edges, cross=15.0).collect()
