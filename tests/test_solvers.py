@@ -127,6 +127,30 @@ def test_splices():
     assert costs == [21400, 21900, 22000]
 
 
+def test_relief_of_a_long_street_needs_few_hubs():
+    n = 1500
+    edges = [(i, i + 1, 10.0) for i in range(n - 1)] + [(n + i, i, 1.0) for i in range(n)]
+    p = problem(2 * n, edges, list(range(n, 2 * n)), hub_cap=8)
+    forest, hubs, load = p.routed([0])
+    d = p.priced(hubs, {e: float(q) for e, q in enumerate(load) if q > 0}, [forest.hub[b] for b in p.points.tolist()], 0.0)
+    assert n / 8 <= len(hubs) <= n / 3 and p.violations(d) == 0
+
+
+def test_all_wanted_hubs_open_after_the_rounds():
+    n = 40
+    edges = [(i, i + 1, 10.0) for i in range(n - 1)] + [(n + i, i, 1.0) for i in range(n)]
+    for cap in ({"hub_cap": 2}, {"edge_cap": 2}):
+        p = problem(2 * n, edges, list(range(n, 2 * n)), rounds=1, **cap)
+        _, hubs, load = p.routed([0])
+        assert p.prices.edge_cap <= 0 or load.max() <= 2
+
+
+def test_loads_over_streets_of_no_length():
+    p = problem(6, [(1, 0, 0.0), (2, 1, 0.0), (2, 3, 5.0), (4, 3, 1.0), (5, 0, 1.0)], [4, 5])
+    load, carried = K.Forest(p.net, [0]).loads(p.at_node)
+    assert load.tolist() == [1, 1, 1, 1, 1] and carried[0] == 2
+
+
 def test_forced_tree_meets_its_bound():
     d = solved(4, [(0, 1, 50), (1, 2, 50), (3, 2, 10)], [3])[1]
     assert d.cable_lb == pytest.approx(d.cable_m)
