@@ -243,6 +243,14 @@ def test_chain_accounts_for_itself(compiled):
     assert sum(first["problem"].demand) == sum(second["problem"].demand) == 5
 
 
+def test_edges_are_numbered_by_range_not_in_one_task(compiled, monkeypatch):
+    calls, dense = [], model.dense
+    monkeypatch.setattr(model, "dense", lambda names, order: calls.append(names.columns) or dense(names, order))
+    rows = compiled().edges.orderBy("edge_id").collect()
+    assert [r.edge_id for r in rows] == list(range(len(rows)))
+    assert len(calls) == 3  # streets, nodes, pieces
+
+
 def test_flow_model_arcs(compiled):
     c = compiled({"facilities": None, "time_expansion": {"steps": 3}, "commodities": [{"pairs": [{"src": 0, "dst": 2}]}], "objective": {"unserved_penalty": {"per_unit": 9}}, "edge_capacities": [{"where": {"edges": {"layer": "*"}}, "capacity": {"soft": 1, "penalty_per_unit": 5, "max": 4}}]})
     n, arcs, coms = model.flow_tables(c)
