@@ -151,6 +151,15 @@ def test_loads_over_streets_of_no_length():
     assert load.tolist() == [1, 1, 1, 1, 1] and carried[0] == 2
 
 
+def test_search_prunes_from_more_hubs():
+    rng = np.random.default_rng(3)
+    n = 120
+    edges = [(i, int(rng.integers(max(0, i - 6), i)), float(rng.integers(50, 900))) for i in range(1, n)] + [(n + i, i, 10.0) for i in range(n)]
+    p, d = solved(2 * n, edges, list(range(n, 2 * n)), hub_cost=3000.0, hub_cap=20, max_k=8)
+    k = len(d.hubs)
+    assert d.cost <= min(D._pruned(p, p.candidate(m * k, False)).cost for m in (2, 3) if m * k <= n) * 1.02
+
+
 def test_forced_tree_meets_its_bound():
     d = solved(4, [(0, 1, 50), (1, 2, 50), (3, 2, 10)], [3])[1]
     assert d.cable_lb == pytest.approx(d.cable_m)
