@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftnet.llm import language_id, line_dedup, mixing, ngram_jaccard, sentence_pieces
-from weftnet.llm.base import read_documents, shared_dir
+from weftnet.llm.base import driver_gives_back, read_documents, shared_dir
 
 
 #: Words from which a repeated line is no chance repeat.
@@ -45,18 +45,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    driver_gives_back(spark)
     return _counted(line_dedup.kept_documents(docs, long_words=LONG_LINE))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    driver_gives_back(spark)
     return ngram_jaccard.kept_documents(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    driver_gives_back(spark)
     return _counted(mixing.mixed_documents(docs))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    driver_gives_back(spark)
     import public_tokenizers
 
     table = sentence_pieces.load_pieces(spark, public_tokenizers.path("piece_bpe_32k.model"))

@@ -20,3 +20,18 @@ def test_stages(spark, tmp_path):
 def test_empty_input(spark, empty):
     for _, stage in P.STAGES:
         assert stage(spark, empty, "").count() == 0
+
+
+def test_the_driver_gives_memory_back(spark, monkeypatch):
+    """Before each stage that follows another, and after each staged table, the driver's Python and JVM return what they freed."""
+    import corpus_pipeline
+    from weftnet.llm import base
+
+    assert base.driver_gives_back(spark)
+    calls = []
+    monkeypatch.setattr(base, "driver_gives_back", lambda s: calls.append("staged"))
+    monkeypatch.setattr(corpus_pipeline, "driver_gives_back", lambda s: calls.append("stage"))
+    docs = spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, source string")
+    corpus_pipeline.lines(spark, docs, "")
+    base.staged(docs)
+    assert calls == ["stage", "staged"]

@@ -41,6 +41,7 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    driver_gives_back(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -71,6 +72,23 @@ def give_back() -> None:
         trim(0)
 
 
+def driver_gives_back(spark: SparkSession) -> bool:
+    """``give_back`` in the driver, for its Python and its JVM; False where the JVM has no such command.
+
+    What the JVM's compilers and codecs have freed stays in the arenas of malloc otherwise, some more from job to job.
+    """
+    give_back()
+    try:
+        gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+        call = [m for m in jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke"][0]
+        given = gateway.new_array(jvm.java.lang.Object, 4)  # the last two stay null: no parameters
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Exception:  # noqa: BLE001  another JVM, system or kind of session: memory isn't given back, results are the same
+        return False
+    return True
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` for ``mapInArrow``, giving memory back when a task ends."""
 

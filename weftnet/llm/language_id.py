@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftnet.llm import textkernel as tk
-from weftnet.llm.base import tidy
+from weftnet.llm.base import driver_gives_back, tidy
 
 N = 5
 BATCH_BYTES = 1 << 20
@@ -150,6 +150,7 @@ def learn(rows: DataFrame, sample: int = 20_000, most: int = 100_000, share: flo
 def _judged(docs: DataFrame, filters: Filters) -> DataFrame:
     """row (struct of the columns of ``docs``), lang_pred, score, n_grams."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
+    driver_gives_back(docs.sparkSession)
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("text").alias("t"))
 
     def run(batches):

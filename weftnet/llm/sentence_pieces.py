@@ -35,7 +35,6 @@ that has the name of an output column is replaced by it.
 
 from __future__ import annotations
 
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -45,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftnet.llm import textkernel as tk
-from weftnet.llm.base import partitions, staged, text_or_empty, tidy
+from weftnet.llm.base import driver_gives_back, partitions, staged, text_or_empty, tidy
 
 MARK = "▁"
 MASK = 60  # places in a long
@@ -480,11 +479,16 @@ def known_chunks(chosen: DataFrame, lattices, kind: str) -> Known:
         words = words.combine_chunks()
     data, at = tk.bytes_of(words)
     hashes = tk.span_hashes(data, at[:-1], _VALUES)
-    ids = rows.column("ids").to_pylist()
+    ids = rows.column("ids").combine_chunks()
+    if isinstance(ids, pa.ChunkedArray):
+        ids = pa.concat_arrays(ids.chunks) if ids.num_chunks else pa.array([], pa.list_(pa.int32()))
     order = np.argsort(hashes)
-    length = np.fromiter(map(len, ids), np.int64, len(ids))[order]
-    flat = np.fromiter(chain.from_iterable(ids[k] for k in order), np.int32, int(length.sum()))
-    return Known(hashes[order], np.cumsum(length) - length, length, flat)
+    first = ids.offsets.to_numpy().astype(np.int64)
+    length = np.diff(first)[order]
+    begin = np.cumsum(length) - length
+    # as arrays: as Python's integers, the ids of 400,000 chunks would fill the driver
+    flat = ids.values.to_numpy()[np.arange(int(length.sum())) + np.repeat(first[:-1][order] - begin, length)].astype(np.int32)
+    return Known(hashes[order], begin, length, flat)
 
 
 def encode(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> DataFrame:
@@ -499,6 +503,7 @@ def _encoded(docs: DataFrame, columns: list[str], pieces: Pieces, frequent: int)
     context = docs.sparkSession.sparkContext
     lattices = context.broadcast(_lattices(pieces))
     known = context.broadcast(known_chunks(most_frequent(staged(repeated(docs)), frequent), lattices, kind))
+    driver_gives_back(docs.sparkSession)
 
     def run(batches):
         table = known.value
