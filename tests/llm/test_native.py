@@ -128,6 +128,35 @@ def test_hamming_matches_find_all_in_wide_radii(spark, radius):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_near_counts_of_dense_groups(spark, monkeypatch):
+    """All counts and least ids are those of brute force, but a query makes a row for each part of a group, not for each match."""
+    import random
+
+    rng = random.Random(8)
+    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(128), n))
+    centre = rng.getrandbits(128)
+    dense = {centre, *[flip(centre, min(40, int(rng.expovariate(0.09)))) for _ in range(600)]}
+    points = sorted(dense | {rng.getrandbits(128) for _ in range(200)} | {flip(centre, k) for k in range(41, 60)})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    words = {x: (signed(x & (1 << 64) - 1), signed(x >> 64)) for x in points}
+    rows = [(*words[x], k % 3 + 1, None if k % 7 == 0 else k) for k, x in enumerate(points)]
+    index = spark.createDataFrame(rows, "f0 long, f1 long, copies long, least long")
+    asked = index.filter("copies = 2").select("f0", "f1")
+    monkeypatch.setattr(simhash, "PART", 150)
+    matches, pairs = simhash.hamming_matches, []
+    monkeypatch.setattr(simhash, "hamming_matches", lambda *a: pairs.append(matches(*a)) or pairs[-1])
+    for reach in (8, 32):
+        monkeypatch.setattr(simhash, "REACH", reach)
+        got = {(r.f0, r.f1): (r.copies, r.least) for r in simhash.near_counts(asked, index, 20).collect()}
+        want = {}
+        for k, x in enumerate(points):
+            if k % 3 == 1:
+                near = [j for j, y in enumerate(points) if (x ^ y).bit_count() <= 20]
+                want[words[x]] = sum(j % 3 + 1 for j in near), min((j for j in near if j % 7), default=None)
+        assert got == want
+    assert pairs[-1].count() < 300 < sum(1 for k, x in enumerate(points) if k % 3 == 1 for y in points if (x ^ y).bit_count() <= 20)
+
+
 def test_edited_copies_are_near(spark):
     import random
 
