@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftnet.llm import language_id, line_dedup, mixing, ngram_jaccard, sentence_pieces
-from weftnet.llm.base import driver_gives_back, read_documents, shared_dir
+from weftnet.llm.base import bounded_batches, driver_gives_back, executors_give_back, read_documents, shared_dir
 
 
 #: Words from which a repeated line is no chance repeat.
@@ -40,27 +40,35 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
+def _begin(spark: SparkSession) -> None:
+    """Give back what the stage before left behind; results don't depend on it."""
+    driver_gives_back(spark)
+    executors_give_back(spark)
+    bounded_batches(spark)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _begin(spark)
     return language_id.accepted_documents(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    driver_gives_back(spark)
+    _begin(spark)
     return _counted(line_dedup.kept_documents(docs, long_words=LONG_LINE))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    driver_gives_back(spark)
+    _begin(spark)
     return ngram_jaccard.kept_documents(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    driver_gives_back(spark)
+    _begin(spark)
     return _counted(mixing.mixed_documents(docs))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    driver_gives_back(spark)
+    _begin(spark)
     import public_tokenizers
 
     table = sentence_pieces.load_pieces(spark, public_tokenizers.path("piece_bpe_32k.model"))

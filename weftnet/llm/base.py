@@ -89,6 +89,29 @@ def driver_gives_back(spark: SparkSession) -> bool:
     return True
 
 
+def executors_give_back(spark: SparkSession) -> bool:
+    """A full collection in the executors' JVMs, after which these return the heap that they don't need; False where it can't be asked for.
+
+    A heap grows with what a stage allocates and stays so, beside the buffers and Python workers of the next one. Tasks are
+    dealt one a core, so each executor gets some; one that gets none keeps its memory, and results are the same.
+    """
+    try:
+        n = spark.sparkContext.defaultParallelism
+        spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).collect()  # a row a core
+    except Exception:  # noqa: BLE001  another kind of session, or no reflection: memory isn't given back
+        return False
+    return True
+
+
+#: Bytes from which an Arrow batch for a Python worker is closed; by default rows alone count, 10,000 of them.
+ARROW_BYTES = 2 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on, Arrow batches of this session's queries hold about ``ARROW_BYTES``, or one row; JVM and worker each hold some at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` for ``mapInArrow``, giving memory back when a task ends."""
 
